@@ -5,11 +5,15 @@ from __future__ import annotations
 from loomgraph.llm.decontaminate import OP1_SQL, op1_decontamination
 from loomgraph.llm.line_dedup import OP2_SQL, op2_line_dedup
 from loomgraph.llm.mixing import op10_mixing
+from loomgraph.llm.ngram_join import op5_ngram_jaccard_join
 from loomgraph.llm.secrets import op9_secret_scan
+from loomgraph.llm.token_rans import op6_token_output
 
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_line_dedup": op2_line_dedup,
+    "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
+    "op6_token_output": op6_token_output,
     "op9_secret_scan": op9_secret_scan,
     "op10_mixing": op10_mixing,
 }
