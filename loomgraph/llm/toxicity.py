@@ -195,7 +195,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
     return w
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, least: int = 4, evidence: float = 25.0) -> Scorer:
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, least: int = 4, evidence: float = 35.0) -> Scorer:
     """A scorer from docs (doc_id, text) and labels (doc_id, toxic), from rows that are not held out.
 
     A mark stands in at least ``least`` toxic texts of the sample, with a log-likelihood ratio of at least ``evidence``.
