@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from loomgraph.llm.ann import op4_nearest_neighbours
 from loomgraph.llm.decontaminate import OP1_SQL, op1_decontamination
+from loomgraph.llm.html_extract import op3_html_extraction
 from loomgraph.llm.lang_id import op8_language_id
 from loomgraph.llm.line_dedup import OP2_SQL, op2_line_dedup
 from loomgraph.llm.mixing import op10_mixing
@@ -15,6 +16,7 @@ from loomgraph.llm.toxicity import op7_toxicity
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_line_dedup": op2_line_dedup,
+    "op3_html_extraction": op3_html_extraction,
     "op4_nearest_neighbours": op4_nearest_neighbours,
     "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
     "op6_token_output": op6_token_output,
