@@ -15,6 +15,10 @@ its largest partner): of the C - D words two linked sets share, the rarest is am
 from a table of the corpus's most frequent words of bounded size; any order gives the same result, a good one keeps passages
 that many texts share from filling buckets.
 
+Candidate pairs are first held against bit sketches of the whole sets, about two bits a shingle: each shingle flips one bit,
+so their Hamming distance, too, is at most the symmetric difference, and pairs beyond (a + b) / 7 drop out. Sketches of
+different lengths are folded to the shorter one by XOR, which keeps the bound.
+
 Verification is exact, on the sets of whole texts. A bucket first pairs each member with its smallest member. Linked classes
 are contracted, and only buckets that still hold members of different components pair these across components. Every pair
 that links shares a bucket, so the components are exact, while groups of copies cost one pair a member.
@@ -44,8 +48,9 @@ from loomgraph.llm.components import components
 from loomgraph.llm.shingles import set_ids, shingle_sets
 
 MIN_CHUNKS = 16
-FREQUENT = 200_000  #: entries of the table of frequent chunk words
-FREQUENT_FROM = 24
+FREQUENT = 1_000_000  #: entries of the table of frequent chunk words
+FREQUENT_FROM = 6
+BITS = (256, 16_384)  #: least and most bits of a class's bit sketch
 
 
 def _sketch(flat: np.ndarray, owner: np.ndarray, sizes: np.ndarray, up: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -148,7 +153,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def counted() -> pa.RecordBatch:
         keys, counts = np.unique(np.concatenate(held), return_counts=True)
-        keys, counts = keys[counts > 2], counts[counts > 2]
+        keys, counts = keys[counts > 1], counts[counts > 1]
         none = pa.nulls(len(keys))
         return pa.RecordBatch.from_arrays([none.cast(pa.int64()), none.cast(pa.int32()), none.cast(pa.int64()), pa.array(keys.view(np.int64)), pa.array(counts)], schema=schema)
 
@@ -230,7 +235,7 @@ def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A compressed text of each class of a task."""
+    """The size, bit sketch and compressed text of each class of a task."""
     classes, packer = _Classes(), zstandard.ZstdCompressor(3)
     for batch in batches:
         text, at = batch.column("text"), 0
@@ -239,10 +244,36 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             fresh = np.flatnonzero(classes.fresh(ids))
             data, offsets = buffers(text.slice(at, len(ids)))
             packed = [packer.compress(data[offsets[i] : offsets[i + 1]].tobytes()) for i in fresh]
-            yield pa.RecordBatch.from_arrays([pa.array(ids[fresh]), pa.array(sizes[fresh].astype(np.int32)), pa.array(packed, pa.binary())], ["cid", "n", "packed"])
+            ends = np.cumsum(sizes)
+            bits = [bit_sketch(flat[ends[i] - sizes[i] : ends[i]]) for i in fresh]
+            yield pa.RecordBatch.from_arrays([pa.array(ids[fresh]), pa.array(sizes[fresh].astype(np.int32)), pa.array(bits, pa.binary()), pa.array(packed, pa.binary())], ["cid", "n", "bits", "packed"])
             at += len(ids)
 
 
+def bit_sketch(shingles: np.ndarray) -> bytes:
+    """Bits that each shingle flips one of; their number is a power of two, about twice the shingles', within BITS."""
+    bits = min(max(BITS[0], 1 << int(2 * len(shingles) - 1).bit_length()), BITS[1])
+    flips = np.bincount((mix(shingles + np.uint64(0xB5297A4D)) & np.uint64(bits - 1)).astype(np.int64), minlength=bits)
+    return np.packbits((flips & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def hamming(a: bytes, b: bytes) -> int:
+    """The Hamming distance of two bit sketches, the longer one folded; at most their sets' symmetric difference."""
+    if len(a) < len(b):
+        a, b = b, a
+    x, n = int.from_bytes(a, "little"), 8 * len(a)
+    while n > 8 * len(b):
+        n //= 2
+        x = (x >> n) ^ (x & ((1 << n) - 1))
+    return (x ^ int.from_bytes(b, "little")).bit_count()
+
+
+def _near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        ok = [hamming(bytes(a), bytes(b)) <= (m + n) // 7 for a, b, m, n in zip(batch["su"], batch["sv"], batch["nu"], batch["nv"], strict=True)]
+        yield batch.loc[np.array(ok, bool), ["u", "v"]]
+
+
 @lru_cache(64)
 def _unpacked(packed: bytes) -> np.ndarray:
     text = zstandard.ZstdDecompressor().decompress(packed)
@@ -260,11 +291,12 @@ def _verified(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (u, v) of classes that link; texts: (cid, n, packed) of classes."""
-    a = texts.select(F.col("cid").alias("u"), F.col("n").alias("nu"), F.col("packed").alias("pa"))
-    b = texts.select(F.col("cid").alias("v"), F.col("n").alias("nv"), F.col("packed").alias("pb"))
-    sizes = pairs.join(a.select("u", "nu"), "u").join(b.select("v", "nv"), "v").filter("4 * least(nu, nv) >= 3 * greatest(nu, nv)").select("u", "v")
-    both = sizes.join(a.select("u", "pa"), "u").join(b.select("v", "pb"), "v")
+    """The pairs (u, v) of classes that link; texts: (cid, n, bits, packed) of classes."""
+    a = texts.select(F.col("cid").alias("u"), F.col("n").alias("nu"), F.col("bits").alias("su"), F.col("packed").alias("pa"))
+    b = texts.select(F.col("cid").alias("v"), F.col("n").alias("nv"), F.col("bits").alias("sv"), F.col("packed").alias("pb"))
+    sketched = pairs.join(a.select("u", "nu", "su"), "u").join(b.select("v", "nv", "sv"), "v").filter("4 * least(nu, nv) >= 3 * greatest(nu, nv)")
+    near = written(sketched.mapInPandas(_near, "u long, v long"), "near")
+    both = near.join(a.select("u", "pa"), "u").join(b.select("v", "pb"), "v")
     return both.select("u", "v", "pa", "pb").mapInPandas(_verified, "u long, v long")
 
 
@@ -284,7 +316,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     buckets = written(post.repartition("key").sortWithinPartitions("key", "cid").mapInArrow(_buckets, "bucket long, cid long, pivot long"), "buckets")
     stars = written(buckets.filter("cid <> pivot").select(F.col("pivot").alias("u"), F.col("cid").alias("v")).distinct(), "stars")
     needed = stars.select(F.col("u").alias("cid")).union(stars.select("v")).distinct()
-    packed = texts.mapInArrow(_packed, "cid long, n int, packed binary").join(needed, "cid", "left_semi").dropDuplicates(["cid"])
+    packed = texts.mapInArrow(_packed, "cid long, n int, bits binary, packed binary").join(needed, "cid", "left_semi").dropDuplicates(["cid"])
     packed = written(packed, "packed")
     links = written(_links(stars, packed), "links")
     roots = components(links)
