@@ -14,7 +14,7 @@ parallel. The states are 63 bits wide and renormalise by 32-bit words.
 A file is a Parquet table of frames with their order (part, shard) and sizes, written by Spark to any store it reads; the
 frames of a table in order, one after another, are also a valid flat file (see read_frames).
 
-Scale: document ids alone give the ranges; texts shuffle once to their range, and a task holds one shard's ids at a time.
+Scale: texts shuffle once, to their range of doc_ids, and a task holds one shard's ids at a time.
 Starts come from sums over parts, a row each. Tokenizing is by distinct pieces: a text is cut before white space that follows
 other characters, where no token can cross, and the library encodes each distinct piece once a worker while the bounded cache
 holds it; texts with unusual white space or special-token strings go to the library whole.
@@ -36,6 +36,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -338,22 +339,20 @@ FRAMES = "part int, shard int, n_docs long, n_ids long, frame binary"
 
 def _encoder(spec: str, end_id: int, shard_ids: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = _tokenizer(spec)
-        part, shard, docs, pieces, held = None, 0, [], [], 0
+        tokens, part = _tokenizer(spec), TaskContext.get().partitionId()
+        shard, docs, pieces, held = 0, [], [], 0
 
         def frame() -> pa.RecordBatch:
             lengths = np.array([len(p) for p in pieces], np.int64)
             data = encode_shard(docs, lengths, np.concatenate(pieces).astype(np.int64))
-            return pa.RecordBatch.from_pylist([{"part": part, "shard": shard, "n_docs": len(docs), "n_ids": held, "frame": data}], pa.schema([("part", pa.int32()), ("shard", pa.int32()), ("n_docs", pa.int64()), ("n_ids", pa.int64()), ("frame", pa.binary())]))
+            types = [("part", pa.int32()), ("shard", pa.int32()), ("n_docs", pa.int64()), ("n_ids", pa.int64()), ("frame", pa.binary())]
+            return pa.RecordBatch.from_pylist([{"part": part, "shard": shard, "n_docs": len(docs), "n_ids": held, "frame": data}], pa.schema(types))
 
         for batch in batches:
-            parts, ids = batch.column("part").to_pylist(), batch.column("doc_id").to_pylist()
-            for p, d, t in zip(parts, ids, tokens.texts(batch.column("text")), strict=True):
-                if docs and (p != part or held >= shard_ids):
+            for d, t in zip(batch.column("doc_id").to_pylist(), tokens.texts(batch.column("text")), strict=True):
+                if held >= shard_ids:
                     yield frame()
                     docs, pieces, held, shard = [], [], 0, shard + 1
-                if p != part:
-                    part, shard = p, 0
                 docs.append(d)
                 pieces.append(np.append(t, np.int32(end_id)))
                 held += len(t) + 1
@@ -363,22 +362,14 @@ def _encoder(spec: str, end_id: int, shard_ids: int) -> Callable:
     return run
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, shard_ids: int = SHARD_IDS, part_docs: int = 2000) -> None:
+def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, shard_ids: int = SHARD_IDS) -> None:
     """Write the frames of docs (doc_id, text) to path, in ascending doc_id order; tokenizer: a tokenizers JSON file's text.
 
-    part_docs: documents in a part, the range of doc_ids whose shards one task writes in order.
+    A part is a range of doc_ids, as many as shuffle partitions, whose shards one task writes in order.
     """
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     docs = docs.select(F.col("doc_id").cast("long"), "text")
-    n = docs.count()
-    parts = max(1, round(n / part_docs))
-    cuts = docs.select(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)], 100 * parts).alias("c")).first()["c"] if parts > 1 else []
-    cuts = sorted(set(cuts or []))
-    by_range = F.lit(0)
-    if cuts:
-        by_range = F.when(F.col("doc_id").isNull(), 0).otherwise(F.expr(f"width_bucket(doc_id, array({', '.join(f'{c}L' for c in cuts)}))"))
-    spark = docs.sparkSession
-    tasks = min(len(cuts) + 1, max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1))
-    ordered = docs.withColumn("part", by_range.cast("int")).repartition(tasks, "part").sortWithinPartitions("part", "doc_id", "text")
+    ordered = docs.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
     ordered.mapInArrow(_encoder(tokenizer, end_id, shard_ids), FRAMES).write.parquet(path)
 
 
