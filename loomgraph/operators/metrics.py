@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import DoubleType
 
 from loomgraph.operators.cover import overlapping, sizes
 from loomgraph.operators.graph import both_ways, degrees, inner_degrees
@@ -331,7 +332,7 @@ def quantile_bands(df: DataFrame, x: str, y: str, q: float = 0.5) -> DataFrame:
     return r.groupBy(F.col(x).alias("x")).agg(F.count("*").alias("n"), F.avg(y).alias("mean"), F.var_pop(y).alias("variance"), pick(-1, "low"), pick(1, "high"))
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def log_factorial(n: pd.Series) -> pd.Series:
     """ln n!"""
     return n.map(lambda v: lgamma(v + 1.0))
