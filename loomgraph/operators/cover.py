@@ -35,7 +35,7 @@ def overlaps(a: DataFrame, b: DataFrame | None = None) -> DataFrame:
         pairs = pairs.filter("c1 < c2")
     shared = pairs.groupBy("c1", "c2").agg(F.count("*").alias("shared"))
     out = shared.join(sizes(a).toDF("c1", "n1"), "c1").join(sizes(b).toDF("c2", "n2"), "c2")
-    return out.withColumn("jaccard", F.col("shared") / (F.col("n1") + F.col("n2") - F.col("shared")))
+    return out.select("c1", "c2", "shared", "n1", "n2", (F.col("shared") / (F.col("n1") + F.col("n2") - F.col("shared"))).alias("jaccard"))
 
 
 def similar(cover: DataFrame, least: float = 0.49999) -> DataFrame:

@@ -34,7 +34,7 @@ def module_lines(modules: DataFrame, only_large: bool = False) -> DataFrame:
     m = modules.groupBy("c").agg(F.array_sort(F.collect_set("node")).alias("m"), F.first("score").alias("bs"))
     if only_large:
         m = m.filter(F.size("m") > 1)
-    head = F.concat(F.lit("#module "), F.col("c"), F.lit(" size: "), F.size("m"), F.lit(" bs: "), F.format_number("bs", "0.######"))
+    head = F.concat(F.lit("#module "), F.col("c"), F.lit(" size: "), F.size("m"), F.lit(" bs: "), F.col("bs").cast("string"))
     body = F.array_join(F.transform("m", lambda x: x.cast("string")), " ")
     return m.select("c", F.posexplode(F.array(head, body)).alias("part", "value"))
 
