@@ -8,8 +8,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomgraph.functions import vectors
 from loomgraph.functions.storage import written
-from loomgraph.operators import cover, detect, generate, graph, kernels, linegraph, medoids, membership, metrics, significance
+from loomgraph.operators import cover, detect, directed, generate, graph, kernels, levels, linegraph, medoids, metrics, significance
 from loomgraph.plans import experiment, partition, predict
 from loomgraph.plans.derived import BRANDS, LINES, REACH, SIZES, brands_cover, co_part, inner, lines_of, sizes_cover, sql, weighted
 from loomgraph.streaming import ingest
@@ -512,7 +513,36 @@ def module_scores(spark, d):  # noqa: ANN001, ANN201
 
 @query()
 def significant_modules(spark, d):  # noqa: ANN001, ANN201
-    return rounded(significance.significant_modules(co_part(spark, d, 3), runs=3), 9)
+    return rounded(significance.significant_modules(co_part(spark, d, 2), runs=1), 9)
+
+
+@query()
+def cleaned_seeds(spark, d):  # noqa: ANN001, ANN201
+    return significance.cleaned_seeds(co_part(spark, d, 3), sizes_cover(spark, d, 3))
+
+
+@query()
+def directed_codelength(spark, d):  # noqa: ANN001, ANN201
+    e = weighted(spark, d)
+    return rounded(directed.codelength(e, sizes_cover(spark, d), ranks=written(graph.pagerank(e, rounds=10, tolerance=1e-9), "ranks")))
+
+
+@query()
+def directed_module_scores(spark, d):  # noqa: ANN001, ANN201
+    return rounded(directed.score_modules(weighted(spark, d), sizes_cover(spark, d), True), 9)
+
+
+@query(sql(2, SIZES) + "SELECT c // 5 AS c, node FROM s")
+def hierarchy_cut(spark, d):  # noqa: ANN001, ANN201
+    s = sizes_cover(spark, d)
+    first = s.select(F.lit(0).alias("level"), F.col("node").alias("child"), F.col("c").alias("parent"))
+    second = s.select(F.lit(1).alias("level"), F.col("c").alias("child"), F.floor(F.col("c") / 5).alias("parent")).distinct()
+    return levels.cut(written(first.union(second), "tree"), 1)
+
+
+@query("SELECT vec_id, round(sqrt(list_sum([CAST(x AS DOUBLE) * CAST(x AS DOUBLE) FOR x IN embedding])), 5) AS norm FROM embeddings")
+def vector_norms(spark, d):  # noqa: ANN001, ANN201
+    return rounded(spark.read.parquet(f"{d}/embeddings.parquet").select("vec_id", vectors.norm(F.col("embedding").cast("array<double>")).alias("norm")), 5)
 
 
 @query()
