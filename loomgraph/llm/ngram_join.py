@@ -15,13 +15,15 @@ its largest partner): of the C - D words two linked sets share, the rarest is am
 from a table of the corpus's most frequent words of bounded size; any order gives the same result, a good one keeps passages
 that many texts share from filling buckets.
 
-Candidate pairs are first held against bit sketches of the whole sets, about two bits a shingle: each shingle flips one bit,
+Candidate pairs are first held against bit sketches of the whole sets, two to six bits a shingle: each shingle flips one bit,
 so their Hamming distance, too, is at most the symmetric difference, and pairs beyond (a + b) / 7 drop out. Sketches of
 different lengths are folded to the shorter one by XOR, which keeps the bound.
 
 Verification is exact, on the sets of whole texts. A bucket first pairs each member with its smallest member. Linked classes
-are contracted, and only buckets that still hold members of different components pair these across components. Every pair
-that links shares a bucket, so the components are exact, while groups of copies cost one pair a member.
+are contracted, and only buckets that still hold members of different components look further: their bit sketches are compared
+across components in blocks, by vector operations, and only pairs within the bound come out; first the nearest pair of each two
+components, which joins most of them, then, after another contraction, all that are left. Every pair that links shares a
+bucket and passes the bounds, so the components are exact, while groups of copies cost a few pairs a member.
 
 Scale: texts are read where they lie; what moves is posted words (16 bytes each, about n / 3 of a text's n shingles),
 compressed texts of classes in candidate pairs, and pairs. Sets are identified by 64-bit hashes of their shingles.
@@ -35,6 +37,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -48,6 +51,7 @@ from loomgraph.llm.components import components
 from loomgraph.llm.shingles import set_ids, shingle_sets
 
 MIN_CHUNKS = 16
+BLOCK = 2000  #: members of a bucket that are compared in one piece
 FREQUENT = 1_000_000  #: entries of the table of frequent chunk words
 FREQUENT_FROM = 6
 BITS = (256, 16_384)  #: least and most bits of a class's bit sketch
@@ -191,7 +195,7 @@ def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """From rows sorted by key and cid: the members of each bucket of at least two, with the smallest; one of equal buckets."""
     seen: set[bytes] = set()
     key, cid = np.zeros(0, np.int64), np.zeros(0, np.int64)
-    for batch in (*batches, None):
+    for batch in chain(batches, [None]):
         if batch is not None:
             key = np.concatenate([key, batch.column("key").to_numpy()])
             cid = np.concatenate([cid, batch.column("cid").to_numpy()])
@@ -251,8 +255,8 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def bit_sketch(shingles: np.ndarray) -> bytes:
-    """Bits that each shingle flips one of; their number is a power of two, about twice the shingles', within BITS."""
-    bits = min(max(BITS[0], 1 << int(2 * len(shingles) - 1).bit_length()), BITS[1])
+    """Bits that each shingle flips one of; their number is a power of two, three to six times the shingles', within BITS."""
+    bits = min(max(BITS[0], 1 << int(3 * len(shingles) - 1).bit_length()), BITS[1])
     flips = np.bincount((mix(shingles + np.uint64(0xB5297A4D)) & np.uint64(bits - 1)).astype(np.int64), minlength=bits)
     return np.packbits((flips & 1).astype(np.uint8), bitorder="little").tobytes()
 
@@ -274,6 +278,73 @@ def _near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield batch.loc[np.array(ok, bool), ["u", "v"]]
 
 
+def _near_pairs(cid: np.ndarray, root: np.ndarray, n: np.ndarray, side: np.ndarray, bits: list[bytes], only_best: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of classes of different components within the bounds; of two blocks (sides 0 and 1) those between them."""
+    length = min(map(len, bits))
+    words = np.stack([_folded(b, length) for b in bits])
+    left = np.flatnonzero(side == 0)
+    right = np.flatnonzero(side == 1) if (side == 1).any() else left
+    same = right is left
+    us, vs, gaps = [], [], []
+    for at, i in enumerate(left.tolist()):
+        js = right[at + 1 :] if same else right
+        js = js[(root[js] != root[i]) & (4 * np.minimum(n[js], n[i]) >= 3 * np.maximum(n[js], n[i]))]
+        if len(js):
+            apart = np.bitwise_count(words[js] ^ words[i]).sum(1).astype(np.int64)
+            near = 7 * apart <= n[js] + n[i]
+            us.append(np.full(int(near.sum()), i))
+            vs.append(js[near])
+            gaps.append(apart[near])
+    if not us:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    u, v, gap = np.concatenate(us), np.concatenate(vs), np.concatenate(gaps)
+    if only_best and len(u):
+        pair = np.stack([np.minimum(root[u], root[v]), np.maximum(root[u], root[v])], 1)
+        order = np.lexsort((gap, pair[:, 1], pair[:, 0]))
+        p = pair[order]
+        first = order[np.concatenate([[True], (p[1:] != p[:-1]).any(1)])]
+        u, v = u[first], v[first]
+    return np.minimum(cid[u], cid[v]), np.maximum(cid[u], cid[v])
+
+
+def _folded(bits: bytes, length: int) -> np.ndarray:
+    w = np.frombuffer(bits, "<u8")
+    while len(w) * 8 > length:
+        half = len(w) // 2
+        w = w[:half] ^ w[half:]
+    return w
+
+
+def _across(only_best: bool):  # noqa: ANN202
+    """From rows sorted by bucket and blocks: the near pairs of different components of each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def out() -> pa.RecordBatch:
+            t = pa.Table.from_batches(held).combine_chunks()
+            col = lambda c: t.column(c).to_numpy()
+            u, v = _near_pairs(col("cid"), col("root"), col("n").astype(np.int64), col("side"), t.column("bits").to_pylist(), only_best)
+            return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+
+        last = None
+        for batch in batches:
+            if not len(batch):
+                continue
+            keys = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in ("bucket", "bi", "bj")], 1)
+            cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1).tolist(), len(keys)]
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                if held and not (keys[a] == last).all():
+                    yield out()
+                    held = []
+                held.append(batch.slice(a, b - a))
+                last = keys[a]
+        if held:
+            yield out()
+
+    return run
+
+
 @lru_cache(64)
 def _unpacked(packed: bytes) -> np.ndarray:
     text = zstandard.ZstdDecompressor().decompress(packed)
@@ -322,14 +393,20 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     roots = components(links)
 
     label = lambda df: df.join(roots.select(F.col("id").alias("cid"), "root"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
-    marked = label(buckets.select("bucket", "cid"))
-    several = marked.groupBy("bucket").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a <> b").select("bucket")
-    open_ = written(marked.join(several, "bucket", "left_semi"), "open-buckets")
-    x, y = open_.toDF("bucket", "u", "ru"), open_.toDF("bucket", "v", "rv")
-    across = x.join(y, "bucket").filter("ru <> rv and u < v").select("u", "v").distinct().join(stars, ["u", "v"], "left_anti")
-    more = written(_links(written(across, "across"), packed), "more-links")
-    if more.limit(1).count():
-        roots = components(links.union(more))
+    for only_best in (True, False):
+        marked = label(buckets.select("bucket", "cid"))
+        several = marked.groupBy("bucket").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+        open_ = marked.join(several.filter("a <> b").select("bucket", "blocks"), "bucket").join(packed.select("cid", "n", "bits"), "cid")
+        own = F.pmod(F.xxhash64("cid"), "blocks").cast("int")
+        dealt = open_.withColumn("own", own).withColumn("to", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        dealt = dealt.select("bucket", F.least("own", "to").alias("bi"), F.greatest("own", "to").alias("bj"), (F.col("own") > F.col("to")).cast("int").alias("side"), "cid", "root", "n", "bits")
+        keys = ["bucket", "bi", "bj"]
+        near = dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_across(only_best), "u long, v long").distinct()
+        more = written(_links(written(near, "across"), packed), "more-links")
+        if not more.limit(1).count():
+            continue
+        links = written(links.union(more), "links")
+        roots = components(links)
 
     class_min = rows.filter("n > 0").groupBy("cid").agg(F.min("doc_id").alias("m"))
     whole = label(class_min)
