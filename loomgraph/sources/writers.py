@@ -97,25 +97,25 @@ def gexf_text(nodes: DataFrame, edges: DataFrame) -> str:
     return "\n".join([*out, "</edges></graph></gexf>", ""])
 
 
-def model_text(polynomial: DataFrame, n: int, p: int, dialect: str = "lp_solve") -> str:
+def model_text(polynomial: DataFrame, n: int, p: int, dialect: str = "lp") -> str:
     """The p-median model of a polynomial (vars, coef) as text for a solver; y0 to y(n-1) are 1 where no facility is opened."""
     rows = sorted((sorted(r["vars"]), r["coef"]) for r in polynomial.collect())
     terms, extra, zs = [], [], 0
     for vars_, coef in rows:
         if not vars_:
-            terms.append(f"{coef:+.12g}" if dialect == "lp_solve" else f"{coef:+.12g} one")
+            terms.append(f"{coef:+.12g}" if dialect == "lp" else f"{coef:+.12g} one")
         elif len(vars_) == 1:
             terms.append(f"{coef:+.12g} y{vars_[0]}")
         else:
             terms.append(f"{coef:+.12g} z{zs}")
             both = " + ".join(f"y{v}" for v in vars_)
             extra.append(f"{both} - z{zs} <= {len(vars_) - 1}")
-            if dialect != "lp_solve":
+            if dialect != "lp":
                 extra.append(f"{both} - z{zs} >= 0")
             zs += 1
     total = " + ".join(f"y{i}" for i in range(1, n + 1)) + f" = {n - p}"
     ys, z = [f"y{i}" for i in range(1, n + 1)], [f"z{i}" for i in range(zs)]
-    if dialect == "lp_solve":
+    if dialect == "lp":
         body = ["min: " + " ".join(terms) + ";", total + ";", *(e + ";" for e in extra), "bin " + ",".join(ys) + ";"]
         return "\n".join(body + (["int " + ",".join(z) + ";"] if z else [])) + "\n"
     head = ["Minimize", " obj: " + " ".join(terms), "Subject To", *(f" c{i}: {e}" for i, e in enumerate([total, *extra])), "Bounds", " one = 1", *(f" {x} >= 0" for x in z)]

@@ -93,7 +93,7 @@ def test_round_trips(spark, tmp_path):
 def test_documents(spark, tmp_path):
     d = spark.createDataFrame([(a, b, float(abs(a - b))) for a in range(1, 5) for b in range(1, 5)], "e1 long, e2 long, d double")
     poly = medoids.polynomial(d, 2)
-    for dialect, word in (("lp_solve", "min:"), ("cplex", "Minimize")):
+    for dialect, word in (("lp", "min:"), ("cplex", "Minimize")):
         text = writers.model_text(poly, 4, 2, dialect)
         assert word in text and "y1 + y2 + y3 + y4 = 2" in text
     nodes = spark.createDataFrame([(1, "a&b", 1.0, 2.0, 3.0)], "id long, clusters string, r double, g double, b double")
