@@ -22,7 +22,7 @@ different lengths are folded to the shorter one by XOR, which keeps the bound.
 Verification is exact, on the sets of whole texts. A bucket first pairs each member with its smallest member. Linked classes
 are contracted, and only buckets that still hold members of different components look further: their bit sketches are compared
 across components in blocks, by vector operations, and only pairs within the bound come out; first the nearest pair of each two
-components, which joins most of them, then, after another contraction, all that are left. Every pair that links shares a
+components in some of the buckets, then, after another contraction, all pairs that are left in all of them. Every pair that links shares a
 bucket and passes the bounds, so the components are exact, while groups of copies cost a few pairs a member.
 
 Scale: texts are read where they lie; what moves is posted words (16 bytes each, about n / 3 of a text's n shingles),
@@ -45,6 +45,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
 from loomgraph.llm.common import buffers, mix, written
 from loomgraph.llm.components import components
@@ -315,6 +316,12 @@ def _folded(bits: bytes, length: int) -> np.ndarray:
     return w
 
 
+@F.pandas_udf(BinaryType())
+def _shorter(bits: pd.Series) -> pd.Series:
+    """Sketches folded to half their length, for buckets; pairs that pass are held against the whole ones."""
+    return bits.map(lambda b: _folded(bytes(b), max(len(b) // 2, 8)).tobytes())
+
+
 def _across(only_best: bool):  # noqa: ANN202
     """From rows sorted by bucket and blocks: the near pairs of different components of each."""
 
@@ -393,10 +400,13 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     roots = components(links)
 
     label = lambda df: df.join(roots.select(F.col("id").alias("cid"), "root"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
+    short = packed.select("cid", "n", _shorter("bits").alias("bits"))
     for only_best in (True, False):
         marked = label(buckets.select("bucket", "cid"))
-        several = marked.groupBy("bucket").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-        open_ = marked.join(several.filter("a <> b").select("bucket", "blocks"), "bucket").join(packed.select("cid", "n", "bits"), "cid")
+        several = marked.groupBy("bucket").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).filter("a <> b")
+        if only_best:  # a first look: one bucket of those with the same smallest and largest components
+            several = several.groupBy("a", "b").agg(F.max_by(F.struct("bucket", "blocks"), F.struct("blocks", "bucket")).alias("x")).select("x.*")
+        open_ = marked.join(several.select("bucket", "blocks"), "bucket").join(short, "cid")
         own = F.pmod(F.xxhash64("cid"), "blocks").cast("int")
         dealt = open_.withColumn("own", own).withColumn("to", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         dealt = dealt.select("bucket", F.least("own", "to").alias("bi"), F.greatest("own", "to").alias("bj"), (F.col("own") > F.col("to")).cast("int").alias("side"), "cid", "root", "n", "bits")
