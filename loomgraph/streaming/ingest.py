@@ -14,11 +14,11 @@ def event_edges(events: DataFrame) -> DataFrame:
 
 def distinct_edges(stream: DataFrame, late: str = "1 hour") -> DataFrame:
     """Each edge once within the watermark."""
-    return stream.withWatermark("ts", late).dropDuplicatesWithinWatermark(["src", "dst"])
+    return stream.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).dropDuplicatesWithinWatermark(["src", "dst"])
 
 
 def windowed_degrees(edges: DataFrame, width: str = "1 day", late: str = "1 hour") -> DataFrame:
     """(start, node, n): links of each source in each window."""
-    source = edges.withWatermark("ts", late) if edges.isStreaming else edges
+    source = edges.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late) if edges.isStreaming else edges
     at = source.groupBy(F.window("ts", width).alias("w"), F.col("src").alias("node")).agg(F.count("*").alias("n"))
     return at.select(F.col("w.start").alias("start"), "node", "n")
