@@ -8,7 +8,7 @@ and looks live. Base spans always stay; wider candidates become spans only if th
 spans is returned as counts (n_live, n_copied).
 
 Scale: texts do not shuffle; one pass writes small rows of spans. Values are counted by (hash, owner) with map-side
-aggregation, so a value in a third of all documents is a few rows a task. The verdicts join candidates by hash, a plain
+aggregation, each once a document and exactly, so a value in a third of all documents is a few rows a task. The verdicts join candidates by hash, a plain
 inner join whose hot keys adaptive execution splits.
 
 Defined cases: a null or empty text has no spans; a null source is one owner; repeated rows keep a row each; an empty table
@@ -102,7 +102,8 @@ def scan(docs: DataFrame, max_owners: int = 2, max_repos: int = 10) -> DataFrame
     rows = docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), "text").mapInArrow(_scan, schema)
     rows = written(rows.withColumn("row", F.monotonically_increasing_id()), "secrets")
     one = rows.select("row", "doc_id", "source", F.explode("found").alias("f")).select("row", "doc_id", "source", "f.*")
-    owners = one.groupBy("h", "source").agg(F.approx_count_distinct("row", 0.02).alias("repos"), F.count("*").alias("n"))
+    held = rows.select("source", F.explode(F.array_distinct("found.h")).alias("h"))  # once a row
+    owners = held.groupBy("h", "source").agg(F.count("*").alias("repos"))
     verdicts = owners.groupBy("h").agg(F.count("*").alias("owners"), F.sum("repos").alias("repos")).select("h", ((F.col("owners") <= max_owners) & (F.col("repos") <= max_repos)).alias("live"))
     judged = one.select("row", "h", "kind", "start", "end", "base").join(verdicts, "h").filter("base or live")
     order = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind")).cast("int")

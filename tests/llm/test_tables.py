@@ -169,3 +169,17 @@ def test_mix(spark):
     kept = mixing.repeated(mixing.mix(docs, [5, 2, 1], seed=3))
     assert kept.count() == got["copies"].sum()
     assert mixing.mix(docs.limit(0), [1]).count() == 0
+
+
+def test_secrets_at_the_limit_of_repositories(spark):
+    r = random.Random(9)
+    held = {i: [] for i in range(1000)}
+    for _ in range(400):
+        value = "Zx9" + "".join(r.choices("ABCDEFabcdef0123456789XYZ", k=31))
+        for i in r.sample(range(1000), 11):
+            held[i].append(value)
+    rows = [(i, " ".join(v), "one") for i, v in held.items()]
+    rows += [(2000 + i, "see Qw7BcDeF0123abcdEF4567XYZ89abQ twice Qw7BcDeF0123abcdEF4567XYZ89abQ", "two") for i in range(10)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {x["doc_id"]: x["spans"] for x in secrets.scan(docs).collect()}
+    assert not any(got[i] for i in range(1000)) and all(got[2000 + i].count("generic") == 2 for i in range(10))
