@@ -4,8 +4,9 @@ Every source gets a target number of words: its weight's share of the whole budg
 the source holds; what is above goes to the others by weight until none is above. Whole passes over a source come first.
 For the rest of the target, documents are counted by exact length; each length first gives its proportional share of
 documents, long lengths then fill what is left while it is large, and a bounded-knapsack dynamic programme over the
-remaining counts finds the subset that comes nearest to the remaining budget. Which documents of a length are taken is
-decided by a seeded hash, so reruns agree.
+remaining counts finds the subset that comes nearest to the remaining budget, from below or above. What stays large has only
+documents of about its own size or longer left, and the nearest sum of those is found directly. Which documents of a length
+are taken is decided by a seeded hash, so reruns agree.
 
 Scale: texts never shuffle. One pass writes (source, size, hash) rows; they are counted by (source, size), and a source's
 lengths, not its documents, meet in one task. The hash of the last document taken is found with counts of hash buckets, and
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.llm.common import n_words, small_enough, written
 
-EXACT = 1 << 16  #: the dynamic programme runs over budgets of at most this many words
+EXACT = 1 << 16  #: the dynamic programme runs over budgets of at most this many words; beyond it at most two documents count
 BROADCAST_ROWS = 1_000_000
 BUCKET = 1000
 
@@ -51,16 +52,17 @@ def targets(totals: dict, weights: list, max_repeat: int = 3) -> dict:
     return out
 
 
-def nearest_subset(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
-    """Bounded knapsack: how many of each length to take so that the sum is the largest one of at most budget."""
-    take = np.zeros(len(lengths), np.int64)
-    reached = np.zeros(budget + 1, bool)
+def nearest_subset(lengths: np.ndarray, counts: np.ndarray, budget: int, above: int = 0) -> np.ndarray:
+    """Bounded knapsack: how many of each length to take so that the sum comes nearest to budget, by at most ``above`` from
+    above; the lower one of equals."""
+    take, top = np.zeros(len(lengths), np.int64), budget + above
+    reached = np.zeros(top + 1, bool)
     reached[0] = True
-    last = np.full(budget + 1, -1, np.int64)
-    for i in np.flatnonzero((lengths > 0) & (lengths <= budget) & (counts > 0)):
+    last = np.full(top + 1, -1, np.int64)
+    for i in np.flatnonzero((lengths > 0) & (lengths <= top) & (counts > 0)):
         length, edge = int(lengths[i]), reached
-        for _ in range(min(int(counts[i]), budget // length)):
-            fresh = np.zeros(budget + 1, bool)
+        for _ in range(min(int(counts[i]), top // length)):
+            fresh = np.zeros(top + 1, bool)
             fresh[length:] = edge[:-length]
             fresh &= ~reached
             if not fresh.any():
@@ -70,15 +72,28 @@ def nearest_subset(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.n
             edge = fresh
         if reached[budget]:
             break
-    at = int(np.flatnonzero(reached)[-1])
+    sums = np.flatnonzero(reached)
+    at = int(sums[np.abs(sums - budget).argmin()])
     while at:
         take[last[at]] += 1
         at -= int(lengths[last[at]])
     return take
 
 
-def fit_lengths(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
-    """How many documents of each length to take so that their words come nearest to budget."""
+def nearest_few(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
+    """The same over any budget that any two documents exceed: none, one of any length, or the two shortest."""
+    left = np.flatnonzero((lengths > 0) & (counts > 0))
+    left = left[np.argsort(lengths[left], kind="stable")]
+    options = [[], *([i] for i in left), np.repeat(left[:2], np.minimum(counts[left[:2]], 2))[:2]]
+    best = min(options, key=lambda o: (abs(int(lengths[o].sum()) - budget) if len(o) else budget, len(o)))
+    return np.bincount(np.array(best, np.int64), minlength=len(lengths)).astype(np.int64)
+
+
+def fit_lengths(lengths: np.ndarray, counts: np.ndarray, budget: int, swap: bool = True) -> np.ndarray:
+    """How many documents of each length to take so that their words come nearest to budget.
+
+    swap: where the words miss it, giving back what is above is tried too, after one document more or none.
+    """
     total = int((lengths * counts).sum())
     if budget <= 0 or not total:
         return np.zeros(len(lengths), np.int64)
@@ -91,9 +106,21 @@ def fit_lengths(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndar
             more = min(int(counts[i] - take[i]), (rest - EXACT // 2) // int(lengths[i]))
             take[i] += max(more, 0)
             rest -= max(more, 0) * int(lengths[i])
-    if rest <= EXACT:
-        take += nearest_subset(lengths, counts - take, rest)
-    return take
+    left = counts - take
+    if rest > EXACT:  # all that is left is longer than rest - EXACT / 2, and so any two exceed rest
+        out = take + nearest_few(lengths, left, rest)
+    else:
+        out = take + nearest_subset(lengths, left, rest)
+        missed = budget - int((lengths * out).sum())
+        if missed > 1:
+            out = take + nearest_subset(lengths, left, rest, missed - 1)
+    missed = budget - int((lengths * out).sum())
+    longer = np.flatnonzero((counts > out) & (lengths > max(missed, 0)))
+    tried = [out]
+    for i in [None] * (missed < 0) + list(longer[lengths[longer].argsort(kind="stable")][:1]) if swap and missed else []:
+        more = np.bincount([] if i is None else [i], minlength=len(lengths)).astype(np.int64)
+        tried.append(out + more - fit_lengths(lengths, out, int((lengths * more).sum()) - missed, swap=False))
+    return min(tried, key=lambda x: abs(budget - int((lengths * x).sum())))
 
 
 def mix(docs: DataFrame, weights: list, seed: int = 0, max_repeat: int = 3, size: str | None = None) -> DataFrame:

@@ -171,6 +171,24 @@ def test_mix(spark):
     assert mixing.mix(docs.limit(0), [1]).count() == 0
 
 
+def test_fit_beyond_the_programme():
+    fit = lambda lengths, counts, budget: mixing.fit_lengths(np.array(lengths), np.array(counts), budget).tolist()
+    assert fit([1_000_000], [1], 900_000) == [1] and fit([1_000_000], [1], 400_000) == [0]
+    assert fit([60], [1], 50) == [1] and fit([60], [1], 30) == [0]
+    assert fit([40_000, 900_000], [2, 1], 80_001) == [2, 0] and fit([50_000, 900_000], [1, 1], 870_000) == [0, 1]
+    r = np.random.default_rng(1)
+    for _ in range(40):
+        lengths = np.unique(r.integers(5, 90, 5))
+        counts = r.integers(0, 3, len(lengths))
+        budget = int(r.integers(0, (lengths * counts).sum() + 1))
+        below = mixing.nearest_subset(lengths, counts, budget)
+        take = mixing.nearest_subset(lengths, counts, budget, budget - int((lengths * below).sum()))
+        sums = {0}
+        for length, c in zip(lengths.tolist(), counts.tolist(), strict=True):
+            sums = {s + length * k for s in sums for k in range(c + 1)}
+        assert (take <= counts).all() and abs((lengths * take).sum() - budget) == min(abs(s - budget) for s in sums)
+
+
 def test_secrets_at_the_limit_of_repositories(spark):
     r = random.Random(9)
     held = {i: [] for i in range(1000)}
