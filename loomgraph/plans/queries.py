@@ -394,7 +394,7 @@ def distance_shells(spark, d):  # noqa: ANN001, ANN201
 
 @query()
 def edge_betweenness(spark, d):  # noqa: ANN001, ANN201
-    return rounded(metrics.betweenness(co_part(spark, d, 3)))
+    return rounded(metrics.betweenness(co_part(spark, d, 2)))
 
 
 @query("SELECT CAST(least(floor(o_totalprice / 5000.0), 99) AS BIGINT) AS bin, least(floor(o_totalprice / 5000.0), 99) * 5000.0 AS lower, count(*) AS n FROM orders WHERE o_totalprice BETWEEN 0 AND 500000 GROUP BY 1, 2")
@@ -498,12 +498,12 @@ def label_propagation(spark, d):  # noqa: ANN001, ANN201
 
 @query()
 def copra(spark, d):  # noqa: ANN001, ANN201
-    return rounded(detect.copra(co_part(spark, d, 3), 2, 8))
+    return rounded(detect.copra(co_part(spark, d, 2), 2, 8))
 
 
 @query()
 def slpa(spark, d):  # noqa: ANN001, ANN201
-    return rounded(detect.slpa(co_part(spark, d, 3), 0.2, 8))
+    return rounded(detect.slpa(co_part(spark, d, 2), 0.2, 8))
 
 
 @query()
@@ -547,7 +547,7 @@ def vector_norms(spark, d):  # noqa: ANN001, ANN201
 
 @query()
 def housed_cover(spark, d):  # noqa: ANN001, ANN201
-    return significance.house(co_part(spark, d, 3), brands_cover(spark, d, 3).filter("c < 30"))
+    return significance.house(co_part(spark, d, 2), brands_cover(spark, d).filter("c < 30"))
 
 
 @query()
@@ -606,4 +606,4 @@ def event_degrees(spark, d):  # noqa: ANN001, ANN201
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     """The cover of the fixed-medoid link partition."""
-    return written(partition.fixed_medoids(co_part(spark, d, 3), 5, 0.4).cover, "flagship")
+    return written(partition.fixed_medoids(co_part(spark, d, 2), 5, 0.4).cover, "flagship")

@@ -6,6 +6,8 @@ import duckdb
 import pytest
 
 import __spark_entry__
+from loomgraph.operators import graph
+from loomgraph.plans.derived import co_part
 from loomgraph.plans.queries import ORACLES, QUERIES
 from loomgraph.streaming import ingest
 
@@ -45,3 +47,11 @@ def test_stream(spark, tmp_path):
     q.awaitTermination(120)
     want = ingest.event_edges(spark.read.parquet(str(tmp_path / "in"))).select("src", "dst").distinct().count()
     assert spark.table("edges").count() == want
+
+
+def test_whole_graph_in_core_queries(spark):
+    """The flagship and edge betweenness take the links of two orders, not the fewer of three."""
+    links = co_part(spark, DATA, 2)
+    assert QUERIES["edge_betweenness"](spark, DATA).count() == links.count() > co_part(spark, DATA, 3).count()
+    few = {r["node"] for r in graph.nodes(co_part(spark, DATA, 3)).collect()}
+    assert {r["node"] for r in __spark_entry__.entry(spark).collect()} - few
