@@ -11,12 +11,12 @@ the language's n-grams and at least ``min_share`` of its rate in the language wh
 training texts stay out that way. The filters are fitted on a bounded sample of labelled rows, at most about ``sample`` whole
 texts a language, chosen by a hash of the doc_id.
 
-Scale: fitting aggregates counts with Spark; at most 1 / min_rate n-grams a language reach the driver. The filters are a few
-MB whatever the corpus; prediction is a map over the texts.
+Scale: fitting aggregates counts with Spark; at most 1 / min_rate n-grams a language reach the driver. The filters are
+8 MB for each 64 languages, whatever the corpus; prediction is a map over the texts.
 
 Defined cases: a null text or one without a letter is ``und`` with score 0; null languages are not learned; without any
-training rows every text is ``und``; ties go to the first language by name; up to 63 languages; repeated rows keep a row
-each; other columns are ignored.
+training rows every text is ``und``; ties go to the first language by name; each language has a bit, in as many 64-bit words a
+slot as they need; repeated rows keep a row each; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 from loomgraph.llm.common import mix
 
 SLOTS = 1 << 20
+WORD = 64  # languages in a word of a slot
 GRAMS = (3, 4)
 SAMPLE = 5000
 
@@ -96,11 +97,12 @@ class Filters:
 
     def __init__(self, langs: list[str], grams: np.ndarray, masks: np.ndarray):
         self.langs = langs
-        self.slots = np.zeros(SLOTS, np.int64)
+        words = max(1, -(-len(langs) // WORD))
+        self.slots = np.zeros((words, SLOTS), np.uint64)
         for at in _slots(grams):
-            np.bitwise_or.at(self.slots, at, masks)
-        bits = (self.slots[:, None] >> np.arange(len(langs))) & 1
-        self.false = np.square(bits.mean(0)) if langs else np.zeros(0)
+            for slots, mask in zip(self.slots, masks.reshape(len(grams), words).T.astype(np.uint64), strict=True):
+                np.bitwise_or.at(slots, at, mask)
+        self.false = np.array([np.square(((self.slots[i // WORD] >> np.uint64(i % WORD)) & np.uint64(1)).mean()) for i in range(len(langs))])
 
     def predict(self, text: str | None) -> tuple[str, float]:
         if not text or not self.langs or not any(ch.isalpha() for ch in text):
@@ -109,8 +111,10 @@ class Filters:
         grams = gram_hashes(text)
         for i in range(0, len(grams), 1 << 20):
             a, b = _slots(grams[i : i + (1 << 20)])
-            masks, count = np.unique(self.slots[a] & self.slots[b], return_counts=True)
-            hits += (((masks[:, None] >> np.arange(len(self.langs))) & 1) * count[:, None]).sum(0)
+            for w, slots in enumerate(self.slots):
+                masks, count = np.unique(slots[a] & slots[b], return_counts=True)
+                own = hits[w * WORD : (w + 1) * WORD]
+                own += (((masks[:, None] >> np.arange(len(own), dtype=np.uint64)) & np.uint64(1)).astype(np.int64) * count[:, None]).sum(0)
             n += len(a)
         corrected = np.maximum((hits - n * self.false) / (1 - self.false), 0)
         best = int(corrected.argmax())
@@ -121,21 +125,21 @@ class Filters:
 def fit(docs: DataFrame, sample: int = SAMPLE, min_rate: float = 2e-5, min_share: float = 0.1) -> Filters:
     """Filters from docs (doc_id, text, lang), learned from rows that are not held out."""
     rows = docs.select("doc_id", "text", "lang").filter(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(63).collect()}
+    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
     langs = sorted(sizes)
     if not langs:
         return Filters([], np.zeros(0, np.uint64), np.zeros(0, np.int64))
-    rate = F.lit(0.0)
-    for lang in langs:
-        rate = F.when(F.col("lang") == lang, min(1.0, sample / sizes[lang])).otherwise(rate)
-    rows = rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < rate * (1 << 30))
+    rates = docs.sparkSession.createDataFrame([(lang, min(1.0, sample / n)) for lang, n in sizes.items()], "lang string, rate double")
+    rows = rows.join(F.broadcast(rates), "lang").filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.col("rate") * (1 << 30))
     counts = rows.select("lang", "text").mapInArrow(_counts, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     rates = counts.withColumn("rate", F.col("n") / F.sum("n").over(Window.partitionBy("lang"))).filter(F.col("rate") >= min_rate)
     kept = rates.select("lang", "gram", "rate").toPandas()
     kept = kept[kept["rate"] >= min_share * kept.groupby("gram")["rate"].transform("max")]
-    bit = kept["lang"].map({lang: 1 << i for i, lang in enumerate(langs)})
-    masks = bit.groupby(kept["gram"]).sum()
-    return Filters(langs, masks.index.to_numpy(np.int64).astype(np.uint64), masks.to_numpy(np.int64))
+    at = kept["lang"].map({lang: i for i, lang in enumerate(langs)}).to_numpy(np.int64)
+    grams, row = np.unique(kept["gram"].to_numpy(np.int64), return_inverse=True)
+    masks = np.zeros((len(grams), -(-len(langs) // WORD)), np.uint64)
+    np.bitwise_or.at(masks, (row, at // WORD), np.uint64(1) << (at % WORD).astype(np.uint64))
+    return Filters(langs, grams.astype(np.uint64), masks)
 
 
 def predict(docs: DataFrame, filters: Filters) -> DataFrame:

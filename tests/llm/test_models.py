@@ -129,3 +129,11 @@ def test_toxicity_without_labels(spark):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     assert {r["score"] for r in toxicity.scored(docs, toxicity.fit(docs, none)).collect()} == {0.0}
     assert toxicity.reject(docs, none).count() == 2
+
+
+def test_more_languages_than_a_word_holds(spark):
+    letters = "abcdefghij"
+    rows = [(i, " ".join(f"{chr(0x4E00 + lang)}{chr(0x4F00 + lang)}{a}{b}" for a in letters[:5] for b in letters), f"l{lang:03d}") for lang in range(130) for i in range(lang * 12, lang * 12 + 12)]
+    filters = lang_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert filters.langs == [f"l{i:03d}" for i in range(130)]
+    assert [filters.predict(rows[i * 12][1])[0] for i in range(130)] == filters.langs
