@@ -36,6 +36,7 @@ ATTR = re.compile(r"\b(id|class|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 HIDDEN = frozenset("script style noscript template title textarea select option svg math iframe object canvas audio video map head".split())
 RAW = frozenset("script style textarea title noscript template iframe svg".split())
+IN_HEAD = frozenset("base basefont bgsound link meta html head".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br img input button picture center".split())
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 SAME = {"li": ("li", ("ul", "ol", "menu")), "dt": ("dt dd", ("dl",)), "dd": ("dt dd", ("dl",)), "tr": ("tr td th", ("table",)), "td": ("td th", ("tr", "table")), "th": ("td th", ("tr", "table"))}
@@ -76,6 +77,7 @@ def parse(html: str, mark: str = "") -> Node:
     blocks = [root]
     end = 0
     skip: str | None = None
+    inner: list[str] = []  # open elements of the option that is skipped
 
     def text(s: str) -> None:
         nonlocal run
@@ -101,19 +103,48 @@ def parse(html: str, mark: str = "") -> Node:
     def tag_of(item: Node | str) -> str:
         return item.tag if isinstance(item, Node) else item
 
+    def past(tag: str) -> int:
+        stop = re.compile(rf"</{tag}\b[^>]*>", re.I).search(html, end)
+        return stop.end() if stop else (len(html) if tag not in ("noscript", "svg", "template") else end)
+
+    def omitted(closing: str, tag: str) -> bool:
+        """Whether the tag ends a skipped head or option, whose end tags may be left out."""
+        if skip == "head":
+            return tag in ("body", "html", "br") if closing else tag not in IN_HEAD
+        if skip != "option":
+            return False
+        if not closing:
+            if tag not in VOID and tag != "option":
+                inner.append(tag)
+            elif tag == "option":
+                inner.clear()
+            return tag in ("optgroup", "hr")
+        if tag in inner:
+            del inner[len(inner) - 1 - inner[::-1].index(tag) :]
+            return False
+        return tag != "option" and any(tag_of(x) == tag for x in stack[1:])
+
     for m in TOKEN.finditer(html):
         if m.start() < end:
             continue
+        if skip == "head" and html[end : m.start()].strip():
+            skip = None
         if m.start() > end and skip is None:
             text(html[end : m.start()])
         end = m.end()
         if not m[2]:
             continue
         closing, tag = m[1], m[2].lower()
+        if skip in ("head", "option") and not closing and tag in RAW:
+            end = past(tag)
+            continue
         if skip is not None:
-            if closing and tag == skip:
+            if omitted(closing, tag):
                 skip = None
-            continue
+            else:
+                if closing and tag == skip:
+                    skip = None
+                continue
         if closing:
             if tag == "br":
                 continue
@@ -129,8 +160,7 @@ def parse(html: str, mark: str = "") -> Node:
         if tag == "html":
             continue
         if tag in RAW:
-            stop = re.compile(rf"</{tag}\b[^>]*>", re.I).search(html, end)
-            end = stop.end() if stop else (len(html) if tag not in ("noscript", "svg", "template") else end)
+            end = past(tag)
             continue
         if tag in FIELDS:
             blocks[-1].fields += 1
@@ -143,6 +173,7 @@ def parse(html: str, mark: str = "") -> Node:
         if tag in HIDDEN:
             if not m[3].rstrip().endswith("/"):
                 skip = tag
+                inner.clear()
             continue
         if tag in CLOSES_P:
             for i in range(len(stack) - 1, 0, -1):
@@ -174,7 +205,7 @@ def parse(html: str, mark: str = "") -> Node:
         node = Node(tag, blocks[-1], attrs)
         stack.append(node)
         blocks.append(node)
-    if skip is None and end < len(html):
+    if skip in (None, "head") and end < len(html):
         text(html[end:])
     _settle(root, mark)
     return root

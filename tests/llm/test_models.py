@@ -137,3 +137,12 @@ def test_more_languages_than_a_word_holds(spark):
     filters = lang_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
     assert filters.langs == [f"l{i:03d}" for i in range(130)]
     assert [filters.predict(rows[i * 12][1])[0] for i in range(130)] == filters.langs
+
+
+def test_end_tags_that_may_be_left_out():
+    text = lambda page: " ".join(n.text for n in html_extract.walk(html_extract.parse(page)) if n.text)
+    assert text("<head><title>t</title><meta charset=x><script>'<p>no'</script><body><p>one<p>two") == "one two"
+    assert text("<head><title>t</title><p>one</p>") == "one" and text("<html><head><style>b</style>one") == "one"
+    assert text("<head><title>t</title></head><body><p>one</body>") == "one"
+    assert text("<p>one</p><datalist><option>x<option><b>y</b></datalist><p>two</p>") == "one two"
+    assert text("<b>one <datalist><option><b>x</b> y<option>z</option></datalist> two</b>") == "one two"
