@@ -79,3 +79,10 @@ def test_cache(spark, tmp_path):
     for frame, force in ((rows, False), (rows.repartition(3), False), (rows, True), (rows.filter("i = 1"), False)):
         assert cache.kept(str(tmp_path), frame, make, "acm", 3, force=force).count() == 1
     assert len(made) == 3
+
+
+def test_clean_up_goes_on_until_nothing_changes():
+    near = {}
+    for i in range(300):
+        near[i], near[i + 1000] = {i + 1000: 1.0}, {i: 1.0}
+    assert significance.clean_up(near, set(range(300)), 600) == set()
