@@ -488,22 +488,22 @@ def louvain_hierarchy(spark, d):  # noqa: ANN001, ANN201
 
 @query()
 def infomap(spark, d):  # noqa: ANN001, ANN201
-    return kernels.infomap_partition(weighted(spark, d), trials=1)
+    return kernels.infomap_partition(weighted(spark, d))
 
 
 @query()
 def label_propagation(spark, d):  # noqa: ANN001, ANN201
-    return detect.label_propagation(co_part(spark, d, 2), 8)
+    return detect.label_propagation(co_part(spark, d, 2))
 
 
 @query()
 def copra(spark, d):  # noqa: ANN001, ANN201
-    return rounded(detect.copra(co_part(spark, d, 2), 2, 8))
+    return rounded(detect.copra(co_part(spark, d, 2), 2))
 
 
 @query()
 def slpa(spark, d):  # noqa: ANN001, ANN201
-    return rounded(detect.slpa(co_part(spark, d, 2), 0.2, 8))
+    return rounded(detect.slpa(co_part(spark, d, 2), 0.2))
 
 
 @query()
@@ -513,7 +513,7 @@ def module_scores(spark, d):  # noqa: ANN001, ANN201
 
 @query()
 def significant_modules(spark, d):  # noqa: ANN001, ANN201
-    return rounded(significance.significant_modules(co_part(spark, d, 2), runs=1), 9)
+    return rounded(significance.significant_modules(co_part(spark, d, 2)), 9)
 
 
 @query()
@@ -578,7 +578,7 @@ def communities_by_size(spark, d):  # noqa: ANN001, ANN201
 @query()
 def label_accuracy(spark, d):  # noqa: ANN001, ANN201
     labels = spark.read.parquet(f"{d}/part.parquet").select(F.col("p_partkey").alias("node"), (F.col("p_size") % 2 + 1).cast("long").alias("label"))
-    return rounded(predict.accuracy(brands_cover(spark, d), labels, n_folds=10, use=1, trees=3))
+    return rounded(predict.accuracy(brands_cover(spark, d), labels))
 
 
 @query()

@@ -55,3 +55,16 @@ def test_whole_graph_in_core_queries(spark):
     assert QUERIES["edge_betweenness"](spark, DATA).count() == links.count() > co_part(spark, DATA, 3).count()
     few = {r["node"] for r in graph.nodes(co_part(spark, DATA, 3)).collect()}
     assert {r["node"] for r in __spark_entry__.entry(spark).collect()} - few
+
+
+def test_queries_run_at_the_operators_defaults(spark, monkeypatch):
+    from loomgraph.operators import detect, kernels, significance
+    from loomgraph.plans import predict
+
+    asked = {}
+    for module, f in ((kernels, "infomap_partition"), (detect, "label_propagation"), (detect, "copra"), (detect, "slpa"), (significance, "significant_modules"), (predict, "accuracy")):
+        monkeypatch.setattr(module, f, lambda df, *a, f=f, **b: (asked.update({f: (a, b)}), df)[1])
+    for name in ("infomap", "label_propagation", "copra", "slpa", "significant_modules", "label_accuracy"):
+        QUERIES[name](spark, DATA)
+    assert asked["copra"] == ((2,), {}) and asked["slpa"] == ((0.2,), {}) and len(asked["accuracy"][0]) == 1
+    assert all(not b for _, b in asked.values()) and not asked["infomap_partition"][0] and not asked["label_propagation"][0] and not asked["significant_modules"][0]
