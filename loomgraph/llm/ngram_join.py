@@ -20,13 +20,16 @@ so their Hamming distance, too, is at most the symmetric difference, and pairs b
 different lengths are folded to the shorter one by XOR, which keeps the bound.
 
 Verification is exact, on the sets of whole texts. A bucket first pairs each member with its smallest member. Linked classes
-are contracted, and only buckets that still hold members of different components look further: their bit sketches are compared
-across components in blocks, by vector operations, and only pairs within the bound come out; first the nearest pair of each two
-components in some of the buckets, then, after another contraction, all pairs that are left in all of them. Every pair that links shares a
-bucket and passes the bounds, so the components are exact, while groups of copies cost a few pairs a member.
+are contracted, and only buckets that still hold members of different components look further, buckets of equal members once:
+they are dealt in blocks to tasks that compare bit sketches across components by vector operations. What leaves such a task is
+a row for each member that has a partner within the bound, never a pair. These members meet once more, with their texts, in the
+same blocks; there pairs are verified, and linked components are united at once, so that a block returns a forest: true links,
+fewer than it has members. The first look takes one bucket of those with the same components, and after another contraction
+all that are left are taken. Every pair that links shares a bucket and passes the bounds, so the components are exact.
 
-Scale: texts are read where they lie; what moves is posted words (16 bytes each, about n / 3 of a text's n shingles),
-compressed texts of classes in candidate pairs, and pairs. Sets are identified by 64-bit hashes of their shingles.
+Scale: texts are read where they lie; what moves is posted words (20 bytes each, about n / 3 of a text's n shingles), compressed
+texts of classes that have a candidate, and links. Words of more than ``HOT`` classes are dealt by salts, so that no bucket
+meets in one task; blocks are bounded by members and by shingles. Sets are identified by 64-bit hashes of their shingles.
 
 Defined cases: null texts and texts without words have n_shingles 0 and are components of their own; repeated rows share
 their component; a null doc_id is no smallest id: its component_id is the smallest other one, or null; an empty table gives
@@ -36,23 +39,27 @@ an empty result; other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 from itertools import chain
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import zstandard
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 
-from loomgraph.llm.common import buffers, mix, written
+from loomgraph.llm.common import buffers, mix, small_enough, written
 from loomgraph.llm.components import components
 from loomgraph.llm.shingles import set_ids, shingle_sets
 
 MIN_CHUNKS = 16
-BLOCK = 2000  #: members of a bucket that are compared in one piece
+BLOCK = 3000  #: members of a bucket that are compared in one piece
+BLOCK_SHINGLES = 2_000_000  #: shingles of a block
+HOT = 100_000  #: classes of a chunk word that meet in one task; more are dealt by salts
+FILTER_BITS = 1 << 25  #: of the filter of classes that have a candidate
+BROADCAST_ROWS = 2_000_000  #: rows of numbers that are broadcast to where texts lie; beyond it both sides move
 FREQUENT = 1_000_000  #: entries of the table of frequent chunk words
 FREQUENT_FROM = 6
 BITS = (256, 16_384)  #: least and most bits of a class's bit sketch
@@ -179,44 +186,58 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield counted()
 
 
-def _poster(frequent: np.ndarray, rank: np.ndarray):  # noqa: ANN202
+def _poster(shared: Broadcast):  # noqa: ANN202
+    """shared: sorted frequent keys, their places in the order, sorted hot keys and over how many salts each is dealt."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes = _Classes()
+        frequent, rank, hot, salts = shared.value
         for batch in batches:
             for flat, sizes in shingle_sets(batch.column("text")):
                 ids = set_ids(flat, sizes)
                 fresh = classes.fresh(ids)
                 whose, keys = posted(*_only(flat, sizes, fresh), frequent, rank)
-                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(ids[fresh][whose])], ["key", "cid"])
+                out = {"key": pa.array(keys.view(np.int64)), "cid": pa.array(cid := ids[fresh][whose])}
+                if len(hot):
+                    at = np.minimum(np.searchsorted(hot, keys), len(hot) - 1)
+                    own, salt = np.flatnonzero(hot[at] == keys), np.full(len(keys), -1, np.int32)
+                    salt[own] = (mix(cid[own].view(np.uint64)) % salts[at[own]]).astype(np.int32)
+                    out["salt"] = pa.array(salt)
+                yield pa.RecordBatch.from_pydict(out)
 
     return run
 
 
 def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows sorted by key and cid: the members of each bucket of at least two, with the smallest; one of equal buckets."""
+    """From rows sorted by key, salt and cid: the members of each bucket with the smallest. Buckets of one member and, in a
+    task, repeated ones are left out; of a salted key (salt 0 and above) every part stays."""
     seen: set[bytes] = set()
-    key, cid = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    none = np.full(1, -1, np.int32)
+    held: list[tuple] = []
+    size = 0
     for batch in chain(batches, [None]):
-        if batch is not None:
-            key = np.concatenate([key, batch.column("key").to_numpy()])
-            cid = np.concatenate([cid, batch.column("cid").to_numpy()])
-            if not len(key) or key[0] == key[-1] and len(key) < 1 << 22:
+        if batch is not None and len(batch):
+            salt = batch.column("salt").to_numpy() if "salt" in batch.schema.names else none.repeat(len(batch))
+            held.append((batch.column("key").to_numpy(), salt, batch.column("cid").to_numpy()))
+            size += len(batch)
+            if held[0][0][0] == held[-1][0][-1] and held[0][1][0] == held[-1][1][-1] and size < 1 << 22:
                 continue
-        if not len(key):
-            break
-        new = np.concatenate([[True], (key[1:] != key[:-1]) | (cid[1:] != cid[:-1])])
-        key, cid = key[new], cid[new]
-        begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        if not held or batch is not None and not len(batch):
+            continue
+        key, salt, cid = (np.concatenate(c) for c in zip(*held, strict=True))
+        other = np.concatenate([[True], (key[1:] != key[:-1]) | (salt[1:] != salt[:-1])])
+        new = other.copy()
+        new[1:] |= cid[1:] != cid[:-1]
+        key, salt, cid, begin = key[new], salt[new], cid[new], np.flatnonzero(other[new])
         done = len(key) if batch is None else int(begin[-1])
         if batch is not None and done == 0:  # one bucket larger than the buffer: its members go out in parts that share the first
-            out = pa.RecordBatch.from_arrays([pa.array(key), pa.array(cid), pa.array(np.full(len(key), cid[0]))], ["bucket", "cid", "pivot"])
-            key, cid = key[:1], cid[:1]
-            yield out
+            yield _members(key, salt, cid, np.full(len(key), cid[0]))
+            held, size = [(key[:1], salt[:1], cid[:1])], 1
             continue
         begin = begin[begin < done]
         count = np.diff(np.append(begin, done))
-        big = count > 1
-        begin, count = begin[big], count[big]
+        some = (count > 1) | (salt[begin] >= 0)
+        begin, count = begin[some], count[some]
         if len(begin):
             rows = np.repeat(begin - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
             members = cid[rows]
@@ -228,31 +249,55 @@ def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             _, one = np.unique(mark, axis=0, return_index=True)
             if len(seen) > 500_000:
                 seen.clear()
-            keep = np.zeros(len(begin), bool)
+            keep = salt[begin] >= 0
             for i in one.tolist():
                 m = mark[i].tobytes()
                 if m not in seen:
                     seen.add(m)
                     keep[i] = True
             stay = np.repeat(keep, count)
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(key[begin], count)[stay]), pa.array(members[stay]), pa.array(np.repeat(cid[begin], count)[stay])], ["bucket", "cid", "pivot"])
-        key, cid = key[done:], cid[done:]
+            yield _members(*(np.repeat(x, count)[stay] for x in (key[begin], salt[begin])), members[stay], np.repeat(cid[begin], count)[stay])
+        held, size = [(key[done:], salt[done:], cid[done:])] if done < len(key) else [], len(key) - done
 
 
-def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The size, bit sketch and compressed text of each class of a task."""
-    classes, packer = _Classes(), zstandard.ZstdCompressor(3)
-    for batch in batches:
-        text, at = batch.column("text"), 0
-        for flat, sizes in shingle_sets(text):
-            ids = set_ids(flat, sizes)
-            fresh = np.flatnonzero(classes.fresh(ids))
-            data, offsets = buffers(text.slice(at, len(ids)))
-            packed = [packer.compress(data[offsets[i] : offsets[i + 1]].tobytes()) for i in fresh]
-            ends = np.cumsum(sizes)
-            bits = [bit_sketch(flat[ends[i] - sizes[i] : ends[i]]) for i in fresh]
-            yield pa.RecordBatch.from_arrays([pa.array(ids[fresh]), pa.array(sizes[fresh].astype(np.int32)), pa.array(bits, pa.binary()), pa.array(packed, pa.binary())], ["cid", "n", "bits", "packed"])
-            at += len(ids)
+def _members(bucket: np.ndarray, salt: np.ndarray, cid: np.ndarray, pivot: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(salt), pa.array(cid), pa.array(pivot)], ["bucket", "salt", "cid", "pivot"])
+
+
+def _packer(shared: Broadcast):  # noqa: ANN202
+    """shared: a filter of the classes that are needed; it lets others pass now and then."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The size, bit sketch and compressed text of each class of a task."""
+        classes, packer, words = _Classes(), zstandard.ZstdCompressor(3), shared.value
+        for batch in batches:
+            text, at = batch.column("text"), 0
+            for flat, sizes in shingle_sets(text):
+                ids = set_ids(flat, sizes)
+                fresh = np.flatnonzero(classes.fresh(ids) & _passes(ids, words))
+                data, offsets = buffers(text.slice(at, len(ids)))
+                packed = [packer.compress(data[offsets[i] : offsets[i + 1]].tobytes()) for i in fresh]
+                ends = np.cumsum(sizes)
+                bits = [bit_sketch(flat[ends[i] - sizes[i] : ends[i]]) for i in fresh]
+                yield pa.RecordBatch.from_arrays([pa.array(ids[fresh]), pa.array(sizes[fresh].astype(np.int32)), pa.array(bits, pa.binary()), pa.array(packed, pa.binary())], ["cid", "n", "bits", "packed"])
+                at += len(ids)
+
+    return run
+
+
+def _filter_of(needed: DataFrame) -> np.ndarray:
+    """A bit for the hash of each class of needed (cid); FILTER_BITS bits, however many classes there are."""
+    slot = F.shiftrightunsigned("cid", 64 - FILTER_BITS.bit_length() + 1)
+    one = F.expr("shiftleft(1L, cast(slot & 63 as int))")
+    words = needed.select(slot.alias("slot")).groupBy(F.shiftright("slot", 6).cast("int").alias("w")).agg(F.bit_or(one).alias("b")).toPandas()
+    out = np.zeros(FILTER_BITS // 64, np.int64)
+    out[words["w"].to_numpy(np.int64)] = words["b"].to_numpy(np.int64)
+    return out.view(np.uint64)
+
+
+def _passes(ids: np.ndarray, words: np.ndarray) -> np.ndarray:
+    slot = ids.view(np.uint64) >> np.uint64(64 - FILTER_BITS.bit_length() + 1)
+    return (words[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63)) & np.uint64(1)).astype(bool)
 
 
 def bit_sketch(shingles: np.ndarray) -> bytes:
@@ -273,39 +318,34 @@ def hamming(a: bytes, b: bytes) -> int:
     return (x ^ int.from_bytes(b, "little")).bit_count()
 
 
-def _near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        ok = [hamming(bytes(a), bytes(b)) <= (m + n) // 7 for a, b, m, n in zip(batch["su"], batch["sv"], batch["nu"], batch["nv"], strict=True)]
-        yield batch.loc[np.array(ok, bool), ["u", "v"]]
-
-
-def _near_pairs(cid: np.ndarray, root: np.ndarray, n: np.ndarray, side: np.ndarray, bits: list[bytes], only_best: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of classes of different components within the bounds; of two blocks (sides 0 and 1) those between them."""
-    length = min(map(len, bits))
-    words = np.stack([_folded(b, length) for b in bits])
-    left = np.flatnonzero(side == 0)
-    right = np.flatnonzero(side == 1) if (side == 1).any() else left
-    same = right is left
-    us, vs, gaps = [], [], []
-    for at, i in enumerate(left.tolist()):
-        js = right[at + 1 :] if same else right
-        js = js[(root[js] != root[i]) & (4 * np.minimum(n[js], n[i]) >= 3 * np.maximum(n[js], n[i]))]
-        if len(js):
-            apart = np.bitwise_count(words[js] ^ words[i]).sum(1).astype(np.int64)
-            near = 7 * apart <= n[js] + n[i]
-            us.append(np.full(int(near.sum()), i))
-            vs.append(js[near])
-            gaps.append(apart[near])
-    if not us:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    u, v, gap = np.concatenate(us), np.concatenate(vs), np.concatenate(gaps)
-    if only_best and len(u):
-        pair = np.stack([np.minimum(root[u], root[v]), np.maximum(root[u], root[v])], 1)
-        order = np.lexsort((gap, pair[:, 1], pair[:, 0]))
-        p = pair[order]
-        first = order[np.concatenate([[True], (p[1:] != p[:-1]).any(1)])]
-        u, v = u[first], v[first]
-    return np.minimum(cid[u], cid[v]), np.maximum(cid[u], cid[v])
+class _Block:
+    """Members of a block: those within the bounds of a member and of another component."""
+
+    def __init__(self, rows: pa.Table):
+        col = lambda c: rows.column(c).to_numpy()
+        self.cid, self.n, self.side = col("cid"), col("n").astype(np.int64), col("side")
+        self.label = np.unique(col("root"), return_inverse=True)[1]
+        bits = rows.column("bits").to_pylist()
+        length = min(map(len, bits))
+        self.words = np.stack([_folded(b, length) for b in bits])
+        left = np.flatnonzero(self.side == 0)
+        right = np.flatnonzero(self.side == 1)
+        self.left, self.right, self.same = left, right if len(right) else left, not len(right)
+
+    def near(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """For each member of the left side: partners on the right side, each pair once, and their distances."""
+        for at, i in enumerate(self.left.tolist()):
+            js = self.right[at + 1 :] if self.same else self.right
+            n = self.n[js]
+            js = js[(self.label[js] != self.label[i]) & (4 * np.minimum(n, self.n[i]) >= 3 * np.maximum(n, self.n[i]))]
+            if len(js):
+                apart = np.bitwise_count(self.words[js] ^ self.words[i]).sum(1).astype(np.int64)
+                close = 7 * apart <= self.n[js] + self.n[i]
+                if close.any():
+                    yield i, js[close], apart[close]
+
+    def unite(self, a: int, b: int) -> None:
+        self.label[self.label == self.label[b]] = self.label[a]
 
 
 def _folded(bits: bytes, length: int) -> np.ndarray:
@@ -322,102 +362,194 @@ def _shorter(bits: pd.Series) -> pd.Series:
     return bits.map(lambda b: _folded(bytes(b), max(len(b) // 2, 8)).tobytes())
 
 
-def _across(only_best: bool):  # noqa: ANN202
-    """From rows sorted by bucket and blocks: the near pairs of different components of each."""
+BLOCK_KEYS = ["bucket", "bi", "bj"]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
 
-        def out() -> pa.RecordBatch:
-            t = pa.Table.from_batches(held).combine_chunks()
-            col = lambda c: t.column(c).to_numpy()
-            u, v = _near_pairs(col("cid"), col("root"), col("n").astype(np.int64), col("side"), t.column("bits").to_pylist(), only_best)
-            return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+def _by_block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of each block, from rows sorted by BLOCK_KEYS."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not len(batch):
+            continue
+        keys = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in BLOCK_KEYS], 1)
+        cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1).tolist(), len(keys)]
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            if held and not (keys[a] == last).all():
+                yield pa.Table.from_batches(held).combine_chunks()
+                held = []
+            held.append(batch.slice(a, b - a))
+            last = keys[a]
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def _partnered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The members of each block that have a partner within the bounds, a row each."""
+    for rows in _by_block(batches):
+        block = _Block(rows)
+        some = np.zeros(len(block.cid), bool)
+        for i, js, _ in block.near():
+            some[i] = True
+            some[js] = True
+        for out in rows.select([*BLOCK_KEYS, "side", "cid", "root"]).filter(pa.array(some)).to_batches():
+            yield out
 
-        last = None
-        for batch in batches:
-            if not len(batch):
-                continue
-            keys = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in ("bucket", "bi", "bj")], 1)
-            cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1).tolist(), len(keys)]
-            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                if held and not (keys[a] == last).all():
-                    yield out()
-                    held = []
-                held.append(batch.slice(a, b - a))
-                last = keys[a]
-        if held:
-            yield out()
 
-    return run
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Verified links of each block that unite all its components that link; fewer than it has members."""
+    for rows in _by_block(batches):
+        block, us, vs = _Block(rows), [], []
+        sets = _Sets(rows.column("packed"))
+        for i, js, apart in block.near():
+            js = js[np.argsort(apart, kind="stable")]
+            while len(js := js[block.label[js] != block.label[i]]):
+                now, js = js[:64], js[64:]
+                for j in now[sets.linked(i, now)].tolist():
+                    if block.label[j] != block.label[i]:
+                        block.unite(i, j)
+                        us.append(min(block.cid[i], block.cid[j]))
+                        vs.append(max(block.cid[i], block.cid[j]))
+        yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], ["u", "v"])
 
 
-@lru_cache(64)
 def _unpacked(packed: bytes) -> np.ndarray:
     text = zstandard.ZstdDecompressor().decompress(packed)
     return next(iter(shingle_sets(pa.array([text], pa.binary()).cast(pa.string()))))[0]
 
 
-def _verified(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        ok = np.zeros(len(batch), bool)
-        for i, (a, b) in enumerate(zip(batch["pa"], batch["pb"], strict=True)):
-            x, y = _unpacked(bytes(a)), _unpacked(bytes(b))
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            ok[i] = 100 * both >= 75 * (len(x) + len(y) - both)
-        yield batch.loc[ok, ["u", "v"]]
-
-
-def _links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (u, v) of classes that link; texts: (cid, n, bits, packed) of classes."""
-    a = texts.select(F.col("cid").alias("u"), F.col("n").alias("nu"), F.col("bits").alias("su"), F.col("packed").alias("pa"))
-    b = texts.select(F.col("cid").alias("v"), F.col("n").alias("nv"), F.col("bits").alias("sv"), F.col("packed").alias("pb"))
-    sketched = pairs.join(a.select("u", "nu", "su"), "u").join(b.select("v", "nv", "sv"), "v").filter("4 * least(nu, nv) >= 3 * greatest(nu, nv)")
-    near = written(sketched.mapInPandas(_near, "u long, v long"), "near")
-    both = near.join(a.select("u", "pa"), "u").join(b.select("v", "pb"), "v")
-    return both.select("u", "v", "pa", "pb").mapInPandas(_verified, "u long, v long")
-
-
-def jaccard_components(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id for each row of docs (doc_id, text); see the module's text."""
+class _Sets:
+    """The shingle sets of packed texts, unpacked when they are asked for."""
+
+    def __init__(self, packed: pa.ChunkedArray):
+        self.packed, self.known = packed, {}
+
+    def of(self, i: int) -> np.ndarray:
+        if i not in self.known:
+            self.known[i] = _unpacked(self.packed[i].as_py())
+        return self.known[i]
+
+    def linked(self, i: int, js: np.ndarray) -> np.ndarray:
+        """Which of the sets js have a Jaccard similarity of at least 0.75 with the set i."""
+        x, others = self.of(i), [self.of(j) for j in js.tolist()]
+        size = np.array([len(y) for y in others])
+        flat = np.concatenate(others)
+        hit = x[np.minimum(np.searchsorted(x, flat), len(x) - 1)] == flat
+        both = np.add.reduceat(hit, np.cumsum(size) - size, dtype=np.int64)
+        return 100 * both >= 75 * (len(x) + size - both)
+
+
+STAR_KEYS = ["u", "b"]
+
+
+def _star(check, column: str):  # noqa: ANN001, ANN202
+    """The partners that pass check(pivot, partner), from rows sorted by STAR_KEYS and side: each block's pivot, then its partners."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("u", pa.int64()), ("b", pa.int32()), ("v", pa.int64())])
+        last = pivot = None
+        for batch in batches:
+            out = []
+            rows = (batch.column(c).to_pylist() for c in (*STAR_KEYS, "cid", "n"))
+            for u, b, cid, n, x in zip(*rows, batch.column(column), strict=True):
+                if (u, b) != last:
+                    last, pivot = (u, b), (n, x.as_py(), {})
+                elif check(pivot, (n, x.as_py(), {})):
+                    out.append((u, b, cid))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*out, strict=True), schema, strict=True)] if out else [pa.array([], t.type) for t in schema], schema=schema)
+
+    return run
+
+
+def _close(pivot: tuple, partner: tuple) -> bool:
+    (m, a, _), (n, b, _) = pivot, partner
+    return 4 * min(m, n) >= 3 * max(m, n) and hamming(a, b) <= (m + n) // 7
+
+
+def _links(pivot: tuple, partner: tuple) -> bool:
+    x, y = (row[2].get("set") if "set" in row[2] else row[2].setdefault("set", _unpacked(row[1])) for row in (pivot, partner))
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * both >= 75 * (len(x) + len(y) - both)
+
+
+def _star_links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (u, v) of classes that link; texts: (cid, n, bits, packed) of classes. What a pivot u has moves once a block."""
+
+    def passed(pairs: DataFrame, check, column: str) -> DataFrame:  # noqa: ANN001
+        partners = pairs.select(*STAR_KEYS, F.lit(1).alias("side"), F.col("v").alias("cid"))
+        members = partners.union(pairs.select(*STAR_KEYS, F.lit(0), F.col("u")).distinct())
+        members = F.broadcast(members) if small_enough(pairs, BROADCAST_ROWS) else members
+        placed = texts.select("cid", "n", column).join(members, "cid")
+        rows = placed.repartition(*STAR_KEYS).sortWithinPartitions(*STAR_KEYS, "side").select(*STAR_KEYS, "cid", "n", column)
+        return rows.mapInArrow(_star(check, column), "u long, b int, v long")
+
+    counts = pairs.groupBy("u").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).filter("blocks > 1")
+    dealt = pairs.join(counts, "u", "left").select("u", F.coalesce(F.pmod(F.xxhash64("v"), "blocks"), F.lit(0)).cast("int").alias("b"), "v")
+    near = written(passed(dealt, _close, "bits"), "near")
+    return passed(near, _links, "packed").select("u", "v")
+
+
+def _block_links(buckets: DataFrame, texts: DataFrame, roots: DataFrame, once: bool) -> DataFrame:
+    """Verified links between components within buckets that hold several; once: a first look, in one bucket of those with
+    the same smallest and largest components."""
+    info = texts.select("cid", "n").join(roots.select(F.col("id").alias("cid"), "root"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
+    hint = lambda df, known: F.broadcast(df) if small_enough(known, BROADCAST_ROWS) else df
+    marked = buckets.join(hint(info, texts.select("cid")), "cid")
+    whole = (F.sum(F.xxhash64("cid").cast("decimal(20,0)")).alias("s"), F.bit_xor("cid").alias("x"), F.count("*").alias("c"))
+    blocks = F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks")
+    several = marked.groupBy("bucket").agg(F.min("root").alias("a"), F.max("root").alias("b"), blocks, *whole).filter("a <> b")
+    several = several.groupBy("s", "x", "c").agg(F.min_by(F.struct("bucket", "a", "b", "blocks"), "bucket").alias("i")).select("i.*")
+    if once:
+        several = several.groupBy("a", "b").agg(F.max_by(F.struct("bucket", "blocks"), F.struct("blocks", "bucket")).alias("i")).select("i.*")
+    members = marked.join(several.select("bucket", "blocks"), "bucket").withColumn("own", F.pmod(F.xxhash64("cid"), "blocks").cast("int"))
+    dealt = members.withColumn("to", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select(F.least("own", "to").alias("bi"), F.greatest("own", "to").alias("bj"), (F.col("own") > F.col("to")).cast("int").alias("side"), "bucket", "cid", "root")
+    sketched = dealt.join(texts.select("cid", "n", _shorter("bits").alias("bits")), "cid")
+    near = sketched.repartition(*BLOCK_KEYS).sortWithinPartitions(*BLOCK_KEYS)
+    near = written(near.mapInArrow(_partnered, "bucket long, bi int, bj int, side int, cid long, root long"), "partnered")
+    alike = near.groupBy(*BLOCK_KEYS).agg(F.sum(F.xxhash64("cid", "side").cast("decimal(20,0)")).alias("s"), F.bit_xor(F.xxhash64("side", "cid")).alias("x"), F.count("*").alias("c"))
+    alike = alike.groupBy("s", "x", "c").agg(F.min(F.struct(*BLOCK_KEYS)).alias("i")).select("i.*")
+    placed = texts.select("cid", "n", "bits", "packed").join(hint(near.join(alike, BLOCK_KEYS, "left_semi"), near), "cid")
+    return placed.repartition(*BLOCK_KEYS).sortWithinPartitions(*BLOCK_KEYS).mapInArrow(_forest, "u long, v long")
+
+
+def jaccard_components(docs: DataFrame, hot: int = HOT) -> DataFrame:
+    """doc_id, n_shingles, component_id for each row of docs (doc_id, text); hot: see HOT, and the module's text."""
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     texts = docs.select("text")
     first = written(docs.mapInArrow(_sets, _SETS), "sets")
     rows = first.filter("n is not null").select("doc_id", "n", "cid")
     words = first.filter("n is null").groupBy("key").agg(F.sum("cnt").alias("cnt")).filter(F.col("cnt") >= FREQUENT_FROM)
     table = words.orderBy(F.desc("cnt"), "key").limit(FREQUENT).toPandas()
-    keys = table["key"].to_numpy(np.int64).view(np.uint64)
+    keys, cnt = table["key"].to_numpy(np.int64).view(np.uint64), table["cnt"].to_numpy(np.int64)
     order = np.argsort(keys)
-    rank = np.minimum(table["cnt"].to_numpy(np.int64)[order], (1 << 24) - 1)
-
-    post = texts.mapInArrow(_poster(keys[order], rank), "key long, cid long")
-    buckets = written(post.repartition("key").sortWithinPartitions("key", "cid").mapInArrow(_buckets, "bucket long, cid long, pivot long"), "buckets")
-    stars = written(buckets.filter("cid <> pivot").select(F.col("pivot").alias("u"), F.col("cid").alias("v")).distinct(), "stars")
+    keys, cnt = keys[order], cnt[order]
+    many = cnt > hot
+    spark = docs.sparkSession.sparkContext
+    shared = spark.broadcast((keys, np.minimum(cnt, (1 << 24) - 1), keys[many], (-(-cnt[many] // hot)).astype(np.uint64)))
+
+    by = ["key", "salt"] if many.any() else ["key"]
+    post = texts.mapInArrow(_poster(shared), "key long, cid long" + (", salt int" if many.any() else ""))
+    buckets = post.repartition(*by).sortWithinPartitions(*by, "cid")
+    buckets = written(buckets.mapInArrow(_buckets, "bucket long, salt int, cid long, pivot long"), "buckets")
+    stars = buckets.filter("cid <> pivot").select(F.col("pivot").alias("u"), F.col("cid").alias("v"))
+    if many.any():  # the parts of a salted word hang on its smallest member
+        parts = buckets.filter("salt >= 0").select("bucket", "pivot").distinct()
+        least = parts.groupBy("bucket").agg(F.min("pivot").alias("u"))
+        stars = stars.union(parts.join(least, "bucket").filter("u <> pivot").select("u", F.col("pivot").alias("v")))
+    stars = written(stars.distinct(), "stars")
     needed = stars.select(F.col("u").alias("cid")).union(stars.select("v")).distinct()
-    packed = texts.mapInArrow(_packed, "cid long, n int, bits binary, packed binary").join(needed, "cid", "left_semi").dropDuplicates(["cid"])
-    packed = written(packed, "packed")
-    links = written(_links(stars, packed), "links")
+    packed = texts.mapInArrow(_packer(spark.broadcast(_filter_of(needed))), "cid long, n int, bits binary, packed binary")
+    packed = written(packed.join(needed, "cid", "left_semi").dropDuplicates(["cid"]), "packed")
+    links = written(_star_links(stars, packed), "links")
     roots = components(links)
+    for once in (True, False):
+        more = written(_block_links(buckets.select("bucket", "cid"), packed, roots, once), "more-links")
+        if more.limit(1).count():
+            links = written(links.union(more), "links")
+            roots = components(links)
 
     label = lambda df: df.join(roots.select(F.col("id").alias("cid"), "root"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
-    short = packed.select("cid", "n", _shorter("bits").alias("bits"))
-    for only_best in (True, False):
-        marked = label(buckets.select("bucket", "cid"))
-        several = marked.groupBy("bucket").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).filter("a <> b")
-        if only_best:  # a first look: one bucket of those with the same smallest and largest components
-            several = several.groupBy("a", "b").agg(F.max_by(F.struct("bucket", "blocks"), F.struct("blocks", "bucket")).alias("x")).select("x.*")
-        open_ = marked.join(several.select("bucket", "blocks"), "bucket").join(short, "cid")
-        own = F.pmod(F.xxhash64("cid"), "blocks").cast("int")
-        dealt = open_.withColumn("own", own).withColumn("to", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        dealt = dealt.select("bucket", F.least("own", "to").alias("bi"), F.greatest("own", "to").alias("bj"), (F.col("own") > F.col("to")).cast("int").alias("side"), "cid", "root", "n", "bits")
-        keys = ["bucket", "bi", "bj"]
-        near = dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_across(only_best), "u long, v long").distinct()
-        more = written(_links(written(near, "across"), packed), "more-links")
-        if not more.limit(1).count():
-            continue
-        links = written(links.union(more), "links")
-        roots = components(links)
-
     class_min = rows.filter("n > 0").groupBy("cid").agg(F.min("doc_id").alias("m"))
     whole = label(class_min)
     smallest = whole.groupBy("root").agg(F.min("m").alias("component_id"))

@@ -4,7 +4,9 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from loomgraph.llm import decontaminate, line_dedup, ngram_join
@@ -60,6 +62,51 @@ def test_jaccard_components(spark):
     assert got == brute_components(rows)
 
 
+def near_group(seed=5, n=40):
+    """Chains: each text edits the one before, so far ones don't link; and a passage in all of them."""
+    r = random.Random(seed)
+    out, w = [], [f"g{r.randrange(500)}" for _ in range(80)]
+    for i in range(n):
+        w = list(w)
+        for _ in range(r.choice([1, 2, 3])):
+            w[r.randrange(len(w))] = f"e{i}"
+        out.append((1000 + i, " ".join(w)))
+    r.shuffle(out)
+    return out
+
+
+@pytest.mark.parametrize(("hot", "block"), [(3, 4), (100_000, 4)])
+def test_jaccard_hot_words_and_blocks(spark, monkeypatch, hot, block):
+    monkeypatch.setattr(ngram_join, "BLOCK", block)
+    rows = near_group() + corpus(9, 3)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.jaccard_components(docs, hot).collect()}
+    assert got == brute_components(rows)
+
+
+def test_forest_is_smaller_than_its_block(spark):
+    """A block of copies of one component each returns fewer links than members, and all that join them."""
+    texts = [t for _, t in near_group(2, 30)]
+    sets = [np.sort(np.array([hash(x) & (2**63 - 1) for x in shingles(t)], np.uint64)) for t in texts]
+    flat = [next(iter(ngram_join.shingle_sets(pa.array([t]))))[0] for t in texts]
+    n = len(texts)
+    rows = {"bucket": [1] * n, "bi": [0] * n, "bj": [0] * n, "side": [0] * n, "cid": list(range(n)), "root": list(range(n)), "n": [len(f) for f in flat], "bits": [ngram_join.bit_sketch(f) for f in flat]}
+    rows["packed"] = [zstandard.compress(t.encode()) for t in texts]
+    (out,) = ngram_join._forest(iter([pa.RecordBatch.from_pydict(rows)]))
+    links = list(zip(out["u"].to_pylist(), out["v"].to_pylist(), strict=True))
+    whole = brute_components(list(enumerate(texts)))
+    assert len(links) == n - len({c for _, c in whole.values()}) < n
+    assert all(len(np.intersect1d(sets[u], sets[v])) * 100 >= 75 * len(np.union1d(sets[u], sets[v])) for u, v in links)
+
+
+def test_jaccard_long_text(spark):
+    r = random.Random(8)
+    long = " ".join(r.choices([f"w{i}" for i in range(5000)], k=180_000))
+    rows = [(1, long), (2, long + " more"), (3, "x" * 1_000_000), (4, long[: len(long) // 2])]
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 1, 2: 1, 3: 3, 4: 4}
+
+
 def test_jaccard_edges(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert ngram_join.jaccard_components(empty).count() == 0
