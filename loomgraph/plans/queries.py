@@ -239,10 +239,10 @@ def homeless_nodes(spark, d):  # noqa: ANN001, ANN201
     return cover.homeless(brands_cover(spark, d).filter("c < 20 or c > 1010"), graph.nodes(co_part(spark, d, 2)))
 
 
-@query(sql(2, SIZES) + "SELECT b.node, s.c, count(*) AS links FROM b JOIN s ON s.node = b.other WHERE b.node % 7 = 0 GROUP BY 1, 2")
+@query(sql(2, SIZES) + "SELECT b.node, s.c, count(*) AS links FROM b JOIN s ON s.node = b.other GROUP BY 1, 2")
 def neighbor_modules(spark, d):  # noqa: ANN001, ANN201
     e = co_part(spark, d, 2)
-    return cover.neighbor_modules(e, sizes_cover(spark, d), graph.nodes(e).filter("node % 7 = 0"))
+    return cover.neighbor_modules(e, sizes_cover(spark, d), graph.nodes(e))
 
 
 @query(sql(3, SIZES, "ie AS (SELECT x.c, b.node, b.other FROM b JOIN s x ON x.node = b.node JOIN s y ON y.c = x.c AND y.node = b.other), cc AS (SELECT c, node, node AS v FROM s UNION SELECT cc.c, cc.node, ie.other FROM cc JOIN ie ON ie.c = cc.c AND ie.node = cc.v)") + "SELECT c, min(v) AS part, node FROM cc GROUP BY c, node")
