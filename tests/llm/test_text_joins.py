@@ -207,3 +207,19 @@ def test_line_dedup(spark, broadcast_lines):
     assert text[0] == "own 0\n\nlast 0" and text[9] == "own 9\n\nlast 1" and text[12] is None and text[13] == "" and text[14] == "menu"
     assert {r["doc_id"]: r["n_dropped"] for r in got}[0] == 2 and len(got) == 16
     assert line_dedup.dedup_lines(pages.limit(0), broadcast_lines=broadcast_lines).count() == 0
+
+
+@pytest.mark.parametrize("broadcast", [100_000, 0])
+def test_line_dedup_of_many_and_long_lines(spark, broadcast):
+    """A host with thousands of boilerplate lines and one long text, on either branch, against plain Python."""
+    r = random.Random(4)
+    plate = [f"line {i}" for i in range(1500)] + ["z" * 200_000]
+    pages = [("a", "\n".join(r.sample(plate, 900) + ["", f"own {i}", f"own {i}"])) for i in range(6)] + [("b", "line 1\nx"), (None, None), (None, ""), ("b", "x" * 1_000_000)]
+    rows = [(i, t, h) for i, (h, t) in enumerate(pages)]
+    hosts = {}
+    for _, t, h in rows:
+        hosts.setdefault(h, []).append(set((t or "").split("\n")) if t is not None else set())
+    bad = {h: {x for p in ps for x in p if x and (n := sum(x in q for q in ps)) >= 3 and n > 0.05 * len(ps)} for h, ps in hosts.items()}
+    want = {i: None if t is None else "\n".join(x for x in t.split("\n") if x not in bad[h]) for i, t, h in rows}
+    got = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string, source string"), broadcast_lines=broadcast)
+    assert {x["doc_id"]: x["text"] for x in got.collect()} == want
