@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -62,6 +63,24 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+ARROW_ROWS = 2000
+
+
+def to_python(df: DataFrame) -> DataFrame:
+    """df, whose texts go to Python in batches of at most ARROW_ROWS rows; lowers the session's setting if it is above."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key)) <= ARROW_ROWS:
+        conf.set(key, str(ARROW_ROWS))
+    return df
+
+
+def slices(batches: Iterable[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """The batches in slices, so that few texts are Python strings at a time."""
+    for batch in batches:
+        for at in range(0, len(batch), rows):
+            yield batch.slice(at, rows)
+
+
 def small_enough(df: DataFrame, rows: int) -> bool:
     """Whether df has at most that many rows; reads no more than it must."""
     return df.limit(rows + 1).count() <= rows

@@ -40,7 +40,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import BYTE_WORDS, SPACE, buffers, segment_hashes, shared_dir
+from loomgraph.llm.common import BYTE_WORDS, SPACE, buffers, segment_hashes, shared_dir, to_python
 
 MAGIC = b"LGR1"
 SCALE = 18
@@ -193,7 +193,7 @@ def read_frames(data: bytes) -> Iterator[bytes]:
 # ---- tokenizing ----
 
 ODD_SPACE = re.compile("[\x1c-\x1f" + "".join(chr(c) for c in range(0x80, 0x3001) if unicodedata.category(chr(c)) in ("Zs", "Zl", "Zp") or c == 0x85) + "]")
-CACHE = 1_500_000
+CACHE = 400_000
 #: of a byte: 1 white space, 2 punctuation that ends a run of letters (an apostrophe may not), 3 an ASCII letter
 KIND = np.where(SPACE, 1, 0).astype(np.int8)
 KIND[[b for b in range(33, 127) if not chr(b).isalnum() and chr(b) != "'"]] = 2
@@ -211,10 +211,11 @@ class PieceTokenizer:
     """Token ids of many texts; the library encodes each distinct piece once while the cache holds it.
 
     The cache finds pieces by a 64-bit hash of their bytes: first in a table with a slot a piece, then, for pieces whose slot
-    was taken, in sorted arrays. It is emptied when it holds more than ``cache`` pieces.
+    was taken, in sorted arrays. The bytes of what is found are compared with the piece's; pieces of equal hashes and other
+    bytes are encoded anew. The cache is emptied when it holds more than ``cache`` pieces.
     """
 
-    SLOTS = 1 << 21
+    SLOTS = 1 << 20
 
     def __init__(self, spec: str, cache: int = CACHE):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -233,6 +234,7 @@ class PieceTokenizer:
         self.slot_hash, self.slot_number = np.zeros(self.SLOTS, np.uint64), np.zeros(self.SLOTS, np.int32)
         self.hashes, self.numbers = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         self.first, self.length, self.ids, self.used = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(1 << 20, np.int32), 0
+        self.byte_at, self.size, self.bytes, self.held = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(1 << 20, np.uint8), 0
 
     def _encode(self, pieces: list[str]) -> list[list[int]]:
         """Pieces of one space and letters are one token of the pre-tokenizer, which the model takes as it is."""
@@ -266,16 +268,7 @@ class PieceTokenizer:
         new = np.flatnonzero(~found)
         if len(new):
             at_new = miss[where[new]]
-            pieces = self._encode([raw[a:b].decode() for a, b in zip(starts[at_new].tolist(), ends[at_new].tolist(), strict=True)])
-            lengths = np.fromiter(map(len, pieces), np.int64, len(pieces))
-            flat = np.fromiter(chain.from_iterable(pieces), np.int32, int(lengths.sum()))
-            while self.used + len(flat) > len(self.ids):
-                self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-            self.ids[self.used : self.used + len(flat)] = flat
-            k[new] = len(self.first) + np.arange(len(new))
-            self.first = np.concatenate([self.first, self.used + np.cumsum(lengths) - lengths])
-            self.length = np.concatenate([self.length, lengths])
-            self.used += len(flat)
+            k[new] = self._entered([raw[a:b] for a, b in zip(starts[at_new].tolist(), ends[at_new].tolist(), strict=True)])
             fresh = distinct[new]
             slots = (fresh & np.uint64(self.SLOTS - 1)).astype(np.int64)
             free = self.slot_hash[slots] == 0
@@ -287,7 +280,39 @@ class PieceTokenizer:
         out[miss] = k[number]
         return out
 
-    def texts(self, column: pa.Array, budget: int = 8 << 20) -> Iterator[np.ndarray]:
+    def _entered(self, raw: list[bytes]) -> np.ndarray:
+        """The numbers of new pieces: their ids and bytes are kept."""
+        pieces = self._encode([r.decode() for r in raw])
+        lengths, sizes = (np.fromiter(map(len, x), np.int64, len(x)) for x in (pieces, raw))
+        flat = np.fromiter(chain.from_iterable(pieces), np.int32, int(lengths.sum()))
+        while self.used + len(flat) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        while self.held + int(sizes.sum()) > len(self.bytes):
+            self.bytes = np.concatenate([self.bytes, np.zeros_like(self.bytes)])
+        self.ids[self.used : self.used + len(flat)] = flat
+        self.bytes[self.held : self.held + int(sizes.sum())] = np.frombuffer(b"".join(raw), np.uint8)
+        numbers = len(self.first) + np.arange(len(raw))
+        self.first, self.length = np.concatenate([self.first, self.used + np.cumsum(lengths) - lengths]), np.concatenate([self.length, lengths])
+        self.byte_at, self.size = np.concatenate([self.byte_at, self.held + np.cumsum(sizes) - sizes]), np.concatenate([self.size, sizes])
+        self.used, self.held = self.used + len(flat), self.held + int(sizes.sum())
+        return numbers
+
+    def _checked(self, k: np.ndarray, starts: np.ndarray, ends: np.ndarray, data: np.ndarray, raw: bytes) -> np.ndarray:
+        """k, with new numbers for pieces whose bytes are not those of the number found; pieces follow one another."""
+        sizes = ends - starts
+        other = sizes != self.size[k]
+        if not other.any():
+            held = self.bytes[np.repeat(self.byte_at[k] - starts, sizes) + np.arange(len(data))]
+            if (held == data).all():
+                return k
+            other = np.add.reduceat(held != data, starts) > 0
+        else:
+            other |= np.array([raw[a:b] != self.bytes[c : c + b - a].tobytes() for a, b, c in zip(starts.tolist(), ends.tolist(), self.byte_at[k].tolist(), strict=True)], bool)
+        out = k.copy()
+        out[other] = self._entered([raw[a:b] for a, b in zip(starts[other].tolist(), ends[other].tolist(), strict=True)])
+        return out
+
+    def texts(self, column: pa.Array, budget: int = 2 << 20) -> Iterator[np.ndarray]:
         """Token ids of each text in order; bytes beyond the budget wait for the next round."""
         data, at = buffers(column)
         i = 0
@@ -309,7 +334,8 @@ class PieceTokenizer:
         ends = np.append(starts[1:], len(data)) if len(starts) else starts
         if len(self.first) > self.cache:
             self.clear()
-        k = self._numbers(segment_hashes(data, starts, ends, BYTE_WORDS), starts, ends, raw)
+        k = self._numbers(segment_hashes(data, starts, ends, BYTE_WORDS) | np.uint64(1), starts, ends, raw)  # 0 is a free slot
+        k = self._checked(k, starts, ends, data, raw)
         bounds = np.searchsorted(starts, at)
         length = self.length[k]
         total = np.concatenate([[0], np.cumsum(length)])
@@ -368,7 +394,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, sh
     A part is a range of doc_ids, as many as shuffle partitions, whose shards one task writes in order.
     """
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    docs = docs.select(F.col("doc_id").cast("long"), "text")
+    docs = to_python(docs.select(F.col("doc_id").cast("long"), "text"))
     ordered = docs.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
     ordered.mapInArrow(_encoder(tokenizer, end_id, shard_ids), FRAMES).write.parquet(path)
 

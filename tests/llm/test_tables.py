@@ -78,6 +78,21 @@ def test_pieces_equal_the_library():
         assert got == [whole.encode(t or "", add_special_tokens=False).ids for t in texts]
 
 
+def test_pieces_of_equal_hashes(monkeypatch):
+    """Pieces whose hashes clash, and a hash of zero, still get their own ids."""
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    hashes = token_rans.segment_hashes
+    monkeypatch.setattr(token_rans, "segment_hashes", lambda *a: hashes(*a) & np.uint64(7))
+    spec = open(P.path("byte_bpe_50k.json"), encoding="utf-8").read()
+    r = random.Random(1)
+    texts = TEXTS + [" ".join("".join(r.choices("abcdef", k=r.randrange(1, 4))) for _ in range(50)) for _ in range(40)]
+    mine, whole = token_rans.PieceTokenizer(spec), Tokenizer.from_str(spec)
+    for _ in range(2):
+        assert [x.tolist() for x in mine.texts(pa.array(texts), budget=300)] == [whole.encode(t or "", add_special_tokens=False).ids for t in texts]
+
+
 def test_token_file(spark):
     from tokenizers import Tokenizer
 
