@@ -7,14 +7,14 @@ channel's costs are those of COSTS. The text, with its disguised spans restored,
 beginnings, learned from labelled rows as those far more frequent in toxic than in other texts, are looked up, and a logistic
 model over the strongest mark, the number of marks and of distinct ones gives the score.
 
-The character model counts all texts. Marks and the logistic model are learned from a bounded sample of labelled rows that
+The character model counts all texts, held-out ones too; it sees no labels. Marks and the logistic model are learned from a bounded sample of labelled rows that
 are not held out, at most about ``sample`` whole texts, chosen by a hash of the doc_id.
 
 Scale: the character model is 64 cubed counts whatever the corpus, aggregated by Spark; marks that reach the driver are
 bounded by their least frequency in the sample; scoring is a map over the texts, one pass of an Aho-Corasick automaton.
 
 Defined cases: a null or empty text has the score of a text without marks; without usable labels the score is the share of
-toxic labels, 0 if there are none; several labels of a doc_id count as toxic if one is; repeated rows keep a row each; other
+toxic labels, 0 if there are none; very long texts are read whole, in time that grows with their length; several labels of a doc_id count as toxic if one is; repeated rows keep a row each; other
 columns are ignored.
 """
 
@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
+from loomgraph.llm.common import slices, to_python
 from loomgraph.llm.lang_id import held_out, letters
 
 THRESHOLD = 0.3
@@ -42,7 +43,6 @@ _L = r"[^\W\d_]"
 _S = r"[0-9@$!|+€]"
 MIXED = re.compile(rf"(?<!\w)(?:{_S}{{0,3}}{_L}+{_S}(?:{_L}|{_S})*|{_S}{{1,3}}{_L}(?:{_L}|{_S})*)")
 SPACED = re.compile(rf"(?<!\w)(?:(?:{_L}|{_S})[ ._*\-]){{3,}}(?:{_L}|{_S})(?!\w)")
-REPEATED = re.compile(rf"(?:{_L})*({_L})\1\1(?:{_L})*")
 SIGN = re.compile(r"[0-9@$!|+€]")
 ALPHABET = 64
 
@@ -56,7 +56,7 @@ def symbols(text: str) -> np.ndarray:
 
 def _count_trigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros(ALPHABET**3, np.int64)
-    for batch in batches:
+    for batch in slices(batches):
         for text in batch.column("text").to_pylist():
             for at in range(0, len(text or ""), 1 << 20):
                 s = symbols(text[max(0, at - 2) : at + (1 << 20)].lower())
@@ -69,7 +69,7 @@ def _count_trigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 def fit_characters(docs: DataFrame) -> np.ndarray:
     """Log probabilities of a symbol after two others, over all texts."""
-    rows = docs.select("text").mapInArrow(_count_trigrams, "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect()
+    rows = to_python(docs.select("text")).mapInArrow(_count_trigrams, "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect()
     counts = np.zeros(ALPHABET**3)
     for r in rows:
         counts[r["gram"]] = r["n"]
@@ -81,8 +81,7 @@ def fit_characters(docs: DataFrame) -> np.ndarray:
 
 def restore(span: str, model: np.ndarray) -> str:
     """The likeliest reading of a disguised span (lower case)."""
-    code = lambda c: int(symbols(c)[0])
-    states: dict[tuple, tuple[float, str]] = {(0, 0, ""): (0.0, "")}  # the last two symbols and the last observed character
+    states: dict[tuple, tuple[float, tuple]] = {(0, 0, ""): (0.0, ())}  # the last two symbols and the last observed character
     for ch in span:
         choices: list[tuple[str, float]] = []
         if ch.isalpha():
@@ -91,33 +90,45 @@ def restore(span: str, model: np.ndarray) -> str:
             choices += [(c, COSTS["swap"]) for c in STANDS_FOR[ch]] + [("", COSTS["sign"])]
         else:
             choices.append(("", COSTS["gap"]))
-        after: dict[tuple, tuple[float, str]] = {}
-        for (a, b, before), (cost, text) in states.items():
+        after: dict[tuple, tuple[float, tuple]] = {}
+        for (a, b, before), (cost, path) in states.items():
             options = choices + ([("", COSTS["repeat"])] if ch == before and ch.isalnum() else [])
             for c, price in options:
                 if c:
-                    k = code(c)
-                    key, to = (b, k, ch), (cost + price - float(model[a, b, k]), text + c)
+                    k = _code(c)
+                    key, to = (b, k, ch), (cost + price - float(model[a, b, k]), (path, c))
                 else:
-                    key, to = (a, b, ch), (cost + price, text)
-                if key not in after or to < after[key]:
+                    key, to = (a, b, ch), (cost + price, path)
+                if key not in after or to[0] < after[key][0]:
                     after[key] = to
         states = after
-    return min((cost - float(model[a, b, 0]), text) for (a, b, _), (cost, text) in states.items())[1]
+    path, out = min(((cost - float(model[a, b, 0]), path) for (a, b, _), (cost, path) in states.items()), key=lambda x: x[0])[1], []
+    while path:
+        path, c = path
+        out.append(c)
+    return "".join(reversed(out))
+
+
+@lru_cache(4096)
+def _code(c: str) -> int:
+    return int(symbols(c)[0])
 
 
 class Restorer:
     """Finds disguised spans of lowered texts and restores them; remembers readings."""
 
     def __init__(self, model: np.ndarray):
-        self.read = lru_cache(100_000)(lambda span: restore(span, model))
+        self.model, self.known = model, lru_cache(20_000)(lambda span: restore(span, model))
+
+    def read(self, span: str) -> str:
+        return self.known(span) if len(span) <= 100 else restore(span, self.model)
 
     def readings(self, low: str) -> list[str]:
         spans = [m[0] for m in SPACED.finditer(low)]
         if SIGN.search(low):
             spans += [m[0].rstrip("!+|") or m[0] for m in MIXED.finditer(low)]
         if REPEATED_HINT.search(low):
-            spans += [m[0] for m in REPEATED.finditer(low)]
+            spans += [w for w in WORDS.findall(low) if REPEATED_HINT.search(w)]
         return [self.read(s) for s in spans]
 
 
@@ -208,26 +219,24 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, least: int = 4
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        restorer, held, texts = Restorer(shared.value), {}, 0
-        totals = [0, 0]
+        restorer, held, totals = Restorer(shared.value), {}, [0, 0]
 
         def out() -> pa.RecordBatch:
-            counted = [("", totals[0], totals[1]), *((f, *n) for f, n in held.items())]
-            return pa.RecordBatch.from_arrays([pa.array([c[0] for c in counted], pa.string()), pa.array([c[1] for c in counted], pa.int64()), pa.array([c[2] for c in counted], pa.int64())], ["f", "clean", "toxic"])
+            both = np.array([totals[0] + (totals[1] << 32), *held.values()], np.int64)  # toxic texts in the upper half
+            return pa.RecordBatch.from_arrays([pa.array(["", *held], pa.string()), pa.array(both & 0xFFFFFFFF), pa.array(both >> 32)], ["f", "clean", "toxic"])
 
-        for batch in batches:
+        for batch in slices(batches):
             for text, y in zip(batch.column("text").to_pylist(), batch.column("y").to_pylist(), strict=True):
                 low = (text or "").lower()
                 totals[y] += 1
                 for f in features(low, restorer.readings(low)):
-                    held.setdefault(f, [0, 0])[y] += 1
-                texts += 1
-                if len(held) > 500_000:
+                    held[f] = held.get(f, 0) + (1 << 32 if y else 1)
+                if len(held) > 150_000:
                     yield out()
                     held, totals = {}, [0, 0]
         yield out()
 
-    counts = rows.mapInArrow(count, "f string, clean long, toxic long").groupBy("f").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    counts = to_python(rows).mapInArrow(count, "f string, clean long, toxic long").groupBy("f").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     frame = counts.filter(f"f = '' or (toxic >= {least} and toxic * 1.0 > clean)").toPandas().set_index("f")
     clean, toxic = (int(frame.loc["", c]) if "" in frame.index else 0 for c in ("clean", "toxic"))
     prior = toxic / (clean + toxic) if clean + toxic else 0.0
@@ -248,7 +257,7 @@ def _evidence(rows: DataFrame, scorer: Scorer) -> tuple[np.ndarray, np.ndarray]:
     shared = rows.sparkSession.sparkContext.broadcast(scorer)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             found = [shared.value.evidence(t) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([f.tolist() for f in found], pa.list_(pa.float64())), batch.column("y")], ["x", "y"])
 
@@ -262,11 +271,11 @@ def scored(docs: DataFrame, scorer: Scorer) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(scorer)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             out = pa.array([shared.value.score(t) for t in batch.column("text").to_pylist()], pa.float64())
             yield pa.RecordBatch.from_arrays([*batch.columns, out], [*batch.schema.names, "score"])
 
-    docs = docs.drop("score")
+    docs = to_python(docs.drop("score"))
     return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("score", DoubleType())]))
 
 

@@ -146,3 +146,17 @@ def test_end_tags_that_may_be_left_out():
     assert text("<head><title>t</title></head><body><p>one</body>") == "one"
     assert text("<p>one</p><datalist><option>x<option><b>y</b></datalist><p>two</p>") == "one two"
     assert text("<b>one <datalist><option><b>x</b> y<option>z</option></datalist> two</b>") == "one two"
+
+
+def test_long_runs_of_letters_are_read_in_proportion():
+    """A repeated letter beside a long run: the readings are the runs with a letter three times and more, however long."""
+    import time
+
+    model = toxicity.np.zeros((toxicity.ALPHABET,) * 3, "f4")
+    restorer = toxicity.Restorer(model)
+    assert restorer.readings("soooo good, baaad_yesss plain") == [toxicity.restore(x, model) for x in ("soooo", "baaad", "yesss")]
+    began = time.perf_counter()
+    assert restorer.readings("ab" * 500_000 + " nooo") == [toxicity.restore("nooo", model)]
+    long = restorer.readings("ab" * 100_000 + "ccc")
+    assert [len(x) for x in long] in ([200_001], [200_002], [200_003])
+    assert time.perf_counter() - began < 60
