@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import mix
+from loomgraph.llm.common import mix, slices, to_python
 
 SLOTS = 1 << 20
 WORD = 64  # languages in a word of a slot
@@ -82,7 +82,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             grams, n = np.unique(np.concatenate(parts), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(grams), pa.string()), pa.array(grams.astype(np.int64)), pa.array(n)], ["lang", "gram", "n"])
 
-    for batch in batches:
+    for batch in slices(batches):
         for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
             held.setdefault(lang, []).append(gram_hashes(text).astype(np.uint32))
             size += len(held[lang][-1])
@@ -147,13 +147,13 @@ def predict(docs: DataFrame, filters: Filters) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(filters)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             found = [shared.value.predict(t) for t in batch.column("text").to_pylist()]
             langs, scores = [f[0] for f in found], [f[1] for f in found]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
 
     rows = docs.select(F.col("doc_id").cast("long"), held_out(F.col("doc_id")).alias("held_out"), "text")
-    return rows.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
+    return to_python(rows).mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
 def op8_language_id(spark, sf_dir: str) -> DataFrame:

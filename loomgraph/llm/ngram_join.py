@@ -50,7 +50,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 
-from loomgraph.llm.common import buffers, mix, small_enough, written
+from loomgraph.llm.common import buffers, mix, small_enough, to_python, written
 from loomgraph.llm.components import components
 from loomgraph.llm.shingles import set_ids, shingle_sets
 
@@ -220,7 +220,7 @@ def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             salt = batch.column("salt").to_numpy() if "salt" in batch.schema.names else none.repeat(len(batch))
             held.append((batch.column("key").to_numpy(), salt, batch.column("cid").to_numpy()))
             size += len(batch)
-            if held[0][0][0] == held[-1][0][-1] and held[0][1][0] == held[-1][1][-1] and size < 1 << 22:
+            if size < 1 << 16 or held[0][0][0] == held[-1][0][-1] and held[0][1][0] == held[-1][1][-1] and size < 1 << 22:
                 continue
         if not held or batch is not None and not len(batch):
             continue
@@ -516,7 +516,7 @@ def _block_links(buckets: DataFrame, texts: DataFrame, roots: DataFrame, once: b
 def jaccard_components(docs: DataFrame, hot: int = HOT) -> DataFrame:
     """doc_id, n_shingles, component_id for each row of docs (doc_id, text); hot: see HOT, and the module's text."""
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    texts = docs.select("text")
+    texts = to_python(docs.select("text"))
     first = written(docs.mapInArrow(_sets, _SETS), "sets")
     rows = first.filter("n is not null").select("doc_id", "n", "cid")
     words = first.filter("n is null").groupBy("key").agg(F.sum("cnt").alias("cnt")).filter(F.col("cnt") >= FREQUENT_FROM)
@@ -561,9 +561,11 @@ def jaccard_components(docs: DataFrame, hot: int = HOT) -> DataFrame:
 def one_of_each(docs: DataFrame) -> DataFrame:
     """docs with one row of each component: that of the smallest doc_id; rows that repeat a doc_id are one document."""
     groups = written(jaccard_components(docs), "components")
-    keep = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_keep")).distinct()
-    kept = docs.join(keep, F.col("doc_id").eqNullSafe(F.col("_keep")), "left_semi")
-    again = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").count().filter("count > 1")
+    stays = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    gone = written(groups.groupBy(F.col("doc_id").alias("_gone")).agg(F.max(stays).alias("stays")).filter("not stays").select("_gone"), "gone")
+    gone = F.broadcast(gone) if small_enough(gone, BROADCAST_ROWS) else gone
+    kept = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
+    again = groups.filter(stays).groupBy("doc_id").count().filter("count > 1")
     return kept.dropDuplicates(["doc_id"]) if again.limit(1).count() else kept
 
 

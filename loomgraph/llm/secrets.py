@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import written
+from loomgraph.llm.common import slices, to_python, written
 
 KINDS = ("assign", "access", "hex", "generic", "jwt", "pem")
 ASSIGN = re.compile(r"(?ai:(password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)")
@@ -80,7 +80,7 @@ def spelled(spans: list[tuple]) -> str:
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     span = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("h", pa.int64()), ("base", pa.bool_())])
-    for batch in batches:
+    for batch in slices(batches):
         counts, digests, spans = {k: [] for k in KINDS[:3]}, [], []
         for text in batch.column("text").to_pylist():
             base = base_spans(text) if text else []
@@ -99,7 +99,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def scan(docs: DataFrame, max_owners: int = 2, max_repos: int = 10) -> DataFrame:
     """One row for each row of docs (doc_id long, text, source): counts, base_sha256, spans and the verdicts' counts."""
     schema = "doc_id long, source string, n_assign long, n_access long, n_hex long, base_sha256 string, found array<struct<kind:string,start:long,end:long,h:long,base:boolean>>"
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), "text").mapInArrow(_scan, schema)
+    rows = to_python(docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), "text")).mapInArrow(_scan, schema)
     rows = written(rows.withColumn("row", F.monotonically_increasing_id()), "secrets")
     one = rows.select("row", "doc_id", "source", F.explode("found").alias("f")).select("row", "doc_id", "source", "f.*")
     held = rows.select("source", F.explode(F.array_distinct("found.h")).alias("h"))  # once a row
