@@ -94,7 +94,7 @@ LOWER_WORDS = BYTE_WORDS[[b + 32 if 65 <= b <= 90 else b for b in range(256)]]
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 _BASE = 0x9E3779B97F4A7C15
-_PIECE = 1 << 20
+_PIECE = 1 << 18
 _powers: dict[str, np.ndarray] = {}
 
 
@@ -118,7 +118,7 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 def segment_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, words: np.ndarray = LOWER_WORDS) -> np.ndarray:
-    """64-bit hash of data[start:end] for each ascending, non-overlapping segment; pieces of about 1 MB at a time."""
+    """64-bit hash of data[start:end] for each ascending, non-overlapping segment; pieces of about 256 KB at a time."""
     out = np.empty(len(starts), np.uint64)
     i = 0
     with np.errstate(over="ignore"):

@@ -179,7 +179,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for _, _, key, _, _ in sketches(*_only(flat, sizes, classes.fresh(ids))):
                 held.append(key)
                 total += len(key)
-            if total > 4_000_000:
+            if total > 1_500_000:
                 yield counted()
                 held, total = [], 0
     if total:

@@ -12,7 +12,7 @@ from loomgraph.llm.common import LOWER_WORDS, buffers, mix, segment_hashes, word
 _STEP = np.uint64(0xC2B2AE3D27D4EB4F)
 
 
-def shingle_sets(column: pa.Array, words: int = 5, budget: int = 4 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def shingle_sets(column: pa.Array, words: int = 5, budget: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """For runs of texts of about budget bytes: all their sets, each in ascending order one after another, and their sizes.
 
     Words are runs of characters other than the space and U+0009 to U+000D, A-Z lowered. A text of fewer words is one shingle
