@@ -3,15 +3,15 @@
 Each text is searched for base patterns (assignments, access keys, hexadecimal strings) and for wider candidates: long
 tokens of mixed character classes and high entropy, private-key blocks and signed web tokens. The values' hashes are
 aggregated over the corpus by distinct repositories (documents) and owners (sources). A value that many owners hold is a
-widely copied example; one that at most ``max_owners`` owners hold, in at most ``max_repos`` repositories, is owner-specific
-and looks live. Base spans always stay; wider candidates become spans only if they are owner-specific. The verdict on base
+widely copied example; one that at most ``max_owners`` owners hold, in however many repositories (in at most ``max_repos``, where
+that is given), is owner-specific and looks live. Base spans always stay; wider candidates become spans only if they are owner-specific. The verdict on base
 spans is returned as counts (n_live, n_copied).
 
 Scale: texts do not shuffle; one pass writes small rows of spans. Values are counted by (hash, owner) with map-side
 aggregation, each once a document and exactly, so a value in a third of all documents is a few rows a task. The verdicts join candidates by hash, a plain
 inner join whose hot keys adaptive execution splits.
 
-Defined cases: a null or empty text has no spans; a null source is one owner; repeated rows keep a row each; an empty table
+Defined cases: a null or empty text has no spans; very long texts are scanned whole; spans that start alike go by kind, then end; a null source is one owner; repeated rows keep a row each; an empty table
 gives an empty result; other columns are not read.
 """
 
@@ -96,7 +96,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("source"), *ints, pa.array(digests, pa.string()), pa.array(spans, pa.list_(span))], ["doc_id", "source", "n_assign", "n_access", "n_hex", "base_sha256", "found"])
 
 
-def scan(docs: DataFrame, max_owners: int = 2, max_repos: int = 10) -> DataFrame:
+def scan(docs: DataFrame, max_owners: int = 2, max_repos: int | None = None) -> DataFrame:
     """One row for each row of docs (doc_id long, text, source): counts, base_sha256, spans and the verdicts' counts."""
     schema = "doc_id long, source string, n_assign long, n_access long, n_hex long, base_sha256 string, found array<struct<kind:string,start:long,end:long,h:long,base:boolean>>"
     rows = to_python(docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), "text")).mapInArrow(_scan, schema)
@@ -104,7 +104,8 @@ def scan(docs: DataFrame, max_owners: int = 2, max_repos: int = 10) -> DataFrame
     one = rows.select("row", "doc_id", "source", F.explode("found").alias("f")).select("row", "doc_id", "source", "f.*")
     held = rows.select("source", F.explode(F.array_distinct("found.h")).alias("h"))  # once a row
     owners = held.groupBy("h", "source").agg(F.count("*").alias("repos"))
-    verdicts = owners.groupBy("h").agg(F.count("*").alias("owners"), F.sum("repos").alias("repos")).select("h", ((F.col("owners") <= max_owners) & (F.col("repos") <= max_repos)).alias("live"))
+    few = (F.col("owners") <= max_owners) & (F.lit(True) if max_repos is None else F.col("repos") <= max_repos)
+    verdicts = owners.groupBy("h").agg(F.count("*").alias("owners"), F.sum("repos").alias("repos")).select("h", few.alias("live"))
     judged = one.select("row", "h", "kind", "start", "end", "base").join(verdicts, "h").filter("base or live")
     order = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind")).cast("int")
     by_row = judged.groupBy("row").agg(

@@ -204,6 +204,14 @@ def test_fit_beyond_the_programme():
         assert (take <= counts).all() and abs((lengths * take).sum() - budget) == min(abs(s - budget) for s in sums)
 
 
+def test_secrets_go_by_owners(spark):
+    """One owner's value stays in however many repositories; a value of three owners goes."""
+    own, shared = "Zx9BcDeF0123abcdEF4567XYZ89abQ", "Qw7BcDeF0123abcdEF4567XYZ89abQ"
+    rows = [(i, f"see {own}", "one") for i in range(25)] + [(100 + i, f"see {shared}", f"s{i}") for i in range(3)]
+    got = {x["doc_id"]: (x["spans"], x["n_live"], x["n_copied"]) for x in secrets.scan(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert all(got[i] == ("generic:4:34", 1, 0) for i in range(25)) and all(got[100 + i] == ("", 0, 0) for i in range(3))
+
+
 def test_secrets_at_the_limit_of_repositories(spark):
     r = random.Random(9)
     held = {i: [] for i in range(1000)}
@@ -214,5 +222,5 @@ def test_secrets_at_the_limit_of_repositories(spark):
     rows = [(i, " ".join(v), "one") for i, v in held.items()]
     rows += [(2000 + i, "see Qw7BcDeF0123abcdEF4567XYZ89abQ twice Qw7BcDeF0123abcdEF4567XYZ89abQ", "two") for i in range(10)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
-    got = {x["doc_id"]: x["spans"] for x in secrets.scan(docs).collect()}
+    got = {x["doc_id"]: x["spans"] for x in secrets.scan(docs, max_repos=10).collect()}
     assert not any(got[i] for i in range(1000)) and all(got[2000 + i].count("generic") == 2 for i in range(10))
