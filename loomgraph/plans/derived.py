@@ -25,6 +25,13 @@ def lines_of(spark: SparkSession, sf_dir: str, orders: int) -> DataFrame:
     return written(linegraph.line_graph(co_part(spark, sf_dir, orders)), "lines")
 
 
+@lru_cache(64)
+def steps_of(spark: SparkSession, sf_dir: str, orders: int) -> DataFrame:
+    """Steps in the line graph from every link to all it reaches, itself too."""
+    sources = co_part(spark, sf_dir, orders).select(F.col("edge_id").alias("node"))
+    return written(graph.search(linegraph.line_links(lines_of(spark, sf_dir, orders)), sources), "steps")
+
+
 @lru_cache(64)
 def weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(src, dst, weight): parts in at least two orders together, and in how many."""
@@ -65,9 +72,14 @@ LINES = "l AS (SELECT DISTINCT x.edge_id AS e1, y.edge_id AS e2 FROM inc x JOIN
 SIZES = "s AS (SELECT CAST(p_size AS BIGINT) AS c, p_partkey AS node FROM part WHERE p_partkey IN (SELECT node FROM n))"
 BRANDS = """r AS (SELECT DISTINCT c, node FROM (SELECT CAST(regexp_extract(p_brand, '([0-9]+)', 1) AS BIGINT) AS c, p_partkey AS node FROM part
 UNION ALL SELECT CAST(length(p_type) + 1000 AS BIGINT), p_partkey FROM part WHERE p_size > 25) WHERE node IN (SELECT node FROM n))"""
-REACH = """ll AS (SELECT e1 AS u, e2 AS v FROM l UNION ALL SELECT e2, e1 FROM l),
-reach AS (SELECT edge_id AS s, edge_id AS v, 0 AS d FROM e UNION SELECT reach.s, ll.v, reach.d + 1 FROM reach JOIN ll ON reach.v = ll.u WHERE reach.d < 40),
-sp AS (SELECT s AS e1, v AS e2, min(d) AS d FROM reach GROUP BY 1, 2)"""
+
+
+def reach(sources: str = "TRUE") -> str:
+    """SQL table sp (e1, e2, d): steps in the line graph from the links e1 that meet the condition to all they reach."""
+    return f"""ll AS (SELECT e1 AS u, e2 AS v FROM l UNION ALL SELECT e2, e1 FROM l),
+reach(s, v, d) USING KEY (s, v) AS (SELECT edge_id, edge_id, 0 FROM e WHERE {sources}
+UNION SELECT reach.s, ll.v, min(reach.d + 1) FROM reach JOIN ll ON reach.v = ll.u LEFT JOIN recurring.reach AS old ON old.s = reach.s AND old.v = ll.v WHERE old.s IS NULL GROUP BY 1, 2),
+sp AS (SELECT s AS e1, v AS e2, d FROM reach)"""
 
 
 def inner(cover: str) -> str:

@@ -12,7 +12,7 @@ from loomgraph.functions import vectors
 from loomgraph.functions.storage import written
 from loomgraph.operators import cover, detect, directed, generate, graph, kernels, levels, linegraph, medoids, metrics, significance
 from loomgraph.plans import experiment, partition, predict
-from loomgraph.plans.derived import BRANDS, LINES, REACH, SIZES, brands_cover, co_part, inner, lines_of, sizes_cover, sql, weighted
+from loomgraph.plans.derived import BRANDS, LINES, SIZES, brands_cover, co_part, inner, lines_of, reach, sizes_cover, sql, steps_of, weighted
 from loomgraph.streaming import ingest
 
 QUERIES = {}
@@ -63,13 +63,8 @@ def induced_subgraph(spark, d):  # noqa: ANN001, ANN201
     return graph.induced(e.select("src", "dst"), graph.nodes(e).filter("node % 3 <> 0"))
 
 
-@query(sql(3, "cc AS (SELECT node, node AS v FROM n UNION SELECT cc.node, b.other FROM cc JOIN b ON b.node = cc.v)") + "SELECT node, min(v) AS component FROM cc GROUP BY 1")
+@query(sql(2, "cc AS (SELECT node, node AS v FROM n UNION SELECT cc.node, b.other FROM cc JOIN b ON b.node = cc.v)") + "SELECT node, min(v) AS component FROM cc GROUP BY 1")
 def components(spark, d):  # noqa: ANN001, ANN201
-    return graph.components(co_part(spark, d, 3))
-
-
-@query()
-def components_large(spark, d):  # noqa: ANN001, ANN201
     return graph.components(co_part(spark, d, 2))
 
 
@@ -101,7 +96,7 @@ def line_graph_degree(spark, d):  # noqa: ANN001, ANN201
     return linegraph.line_degrees(co_part(spark, d, 2), lines_of(spark, d, 2))
 
 
-@query(sql(3, LINES, REACH) + "SELECT x.edge_id AS e1, y.edge_id AS e2, CAST(coalesce(d, 0) AS DOUBLE) AS d FROM e x CROSS JOIN e y LEFT JOIN sp ON sp.e1 = x.edge_id AND sp.e2 = y.edge_id")
+@query(sql(3, LINES, reach()) + "SELECT x.edge_id AS e1, y.edge_id AS e2, CAST(coalesce(d, 0) AS DOUBLE) AS d FROM e x CROSS JOIN e y LEFT JOIN sp ON sp.e1 = x.edge_id AND sp.e2 = y.edge_id")
 def distance_shortest_path(spark, d):  # noqa: ANN001, ANN201
     return linegraph.shortest_paths(co_part(spark, d, 3), lines_of(spark, d, 3))
 
@@ -133,8 +128,8 @@ def resistance_totals(spark, d):  # noqa: ANN001, ANN201
 # ---- from medoids to covers ----
 
 _FIXED = (
-    LINES, REACH,
-    """near AS (SELECT e.edge_id, j.k AS cl, CAST(coalesce(sp.d, 0) AS DOUBLE) AS d FROM e CROSS JOIN (SELECT edge_id AS k FROM e WHERE edge_id <= 5) j LEFT JOIN sp ON sp.e1 = e.edge_id AND sp.e2 = j.k),
+    LINES, reach("edge_id <= 5"),
+    """near AS (SELECT e.edge_id, j.k AS cl, CAST(coalesce(sp.d, 0) AS DOUBLE) AS d FROM e CROSS JOIN (SELECT edge_id AS k FROM e WHERE edge_id <= 5) j LEFT JOIN sp ON sp.e2 = e.edge_id AND sp.e1 = j.k),
 a AS (SELECT edge_id, cl AS cluster_id FROM (SELECT *, row_number() OVER (PARTITION BY edge_id ORDER BY d, cl) AS r FROM near) WHERE r = 1),
 rk AS (SELECT cluster_id, row_number() OVER (ORDER BY cluster_id) AS c FROM (SELECT DISTINCT cluster_id FROM a)),
 mb AS (SELECT node, c, count(*) AS n_edges FROM inc JOIN a USING (edge_id) JOIN rk USING (cluster_id) GROUP BY 1, 2),
@@ -142,19 +137,19 @@ bl AS (SELECT node, c, n_edges, n_edges * 1.0 / sum(n_edges) OVER (PARTITION BY
 )
 
 
-@query(sql(3, *_FIXED) + "SELECT edge_id, cluster_id FROM a")
+@query(sql(2, *_FIXED) + "SELECT edge_id, cluster_id FROM a")
 def nearest_medoid(spark, d):  # noqa: ANN001, ANN201
-    return partition.fixed_medoids(co_part(spark, d, 3), 5, 0.0).clusters
+    return partition.fixed_medoids(co_part(spark, d, 2), 5, 0.0).clusters
 
 
-@query(sql(3, *_FIXED) + "SELECT node, c, n_edges, round(CAST(belonging AS DOUBLE), 6) AS belonging FROM bl")
+@query(sql(2, *_FIXED) + "SELECT node, c, n_edges, round(CAST(belonging AS DOUBLE), 6) AS belonging FROM bl")
 def membership_counts(spark, d):  # noqa: ANN001, ANN201
-    return rounded(partition.fixed_medoids(co_part(spark, d, 3), 5, 0.0).members)
+    return rounded(partition.fixed_medoids(co_part(spark, d, 2), 5, 0.0).members)
 
 
-@query(sql(3, *_FIXED) + "SELECT c, node FROM bl WHERE belonging >= 0.4")
+@query(sql(2, *_FIXED) + "SELECT c, node FROM bl WHERE belonging >= 0.4")
 def threshold_cover(spark, d):  # noqa: ANN001, ANN201
-    return partition.fixed_medoids(co_part(spark, d, 3), 5, 0.4).cover
+    return partition.fixed_medoids(co_part(spark, d, 2), 5, 0.4).cover
 
 
 @query()
@@ -245,9 +240,9 @@ def neighbor_modules(spark, d):  # noqa: ANN001, ANN201
     return cover.neighbor_modules(e, sizes_cover(spark, d), graph.nodes(e))
 
 
-@query(sql(3, SIZES, "ie AS (SELECT x.c, b.node, b.other FROM b JOIN s x ON x.node = b.node JOIN s y ON y.c = x.c AND y.node = b.other), cc AS (SELECT c, node, node AS v FROM s UNION SELECT cc.c, cc.node, ie.other FROM cc JOIN ie ON ie.c = cc.c AND ie.node = cc.v)") + "SELECT c, min(v) AS part, node FROM cc GROUP BY c, node")
+@query(sql(2, SIZES, "ie AS (SELECT x.c, b.node, b.other FROM b JOIN s x ON x.node = b.node JOIN s y ON y.c = x.c AND y.node = b.other), cc AS (SELECT c, node, node AS v FROM s UNION SELECT cc.c, cc.node, ie.other FROM cc JOIN ie ON ie.c = cc.c AND ie.node = cc.v)") + "SELECT c, min(v) AS part, node FROM cc GROUP BY c, node")
 def split_communities(spark, d):  # noqa: ANN001, ANN201
-    return cover.split_components(co_part(spark, d, 3), sizes_cover(spark, d, 3))
+    return cover.split_components(co_part(spark, d, 2), sizes_cover(spark, d))
 
 
 @query(sql(2, BRANDS) + "SELECT c, array_to_string(list_sort(list(DISTINCT node)), ' ') AS value FROM r GROUP BY 1")
@@ -380,16 +375,14 @@ def graph_statistics(spark, d):  # noqa: ANN001, ANN201
     return rounded(metrics.graph_statistics(co_part(spark, d, 2), brands_cover(spark, d)))
 
 
-@query(sql(3, LINES, REACH) + "SELECT max(d) AS diameter, round(avg(d), 6) AS average, count(*) AS pairs FROM sp WHERE d > 0")
+@query(sql(2, LINES, reach()) + "SELECT max(d) AS diameter, round(avg(d), 6) AS average, count(*) AS pairs FROM sp WHERE d > 0")
 def path_statistics(spark, d):  # noqa: ANN001, ANN201
-    lines, e = lines_of(spark, d, 3), co_part(spark, d, 3)
-    return rounded(metrics.path_statistics(graph.search(linegraph.line_links(lines), e.select(F.col("edge_id").alias("node")))))
+    return rounded(metrics.path_statistics(steps_of(spark, d, 2)))
 
 
-@query(sql(3, LINES, REACH, "sh AS (SELECT d, count(*) * 1.0 / (SELECT count(*) FROM e) AS r FROM sp GROUP BY 1)") + "SELECT d, round(r, 6)::DOUBLE AS reached, round(sum(r) OVER (ORDER BY d), 6)::DOUBLE AS cumulative FROM sh")
+@query(sql(2, LINES, reach(), "sh AS (SELECT d, count(*) * 1.0 / (SELECT count(*) FROM e) AS r FROM sp GROUP BY 1)") + "SELECT d, round(r, 6)::DOUBLE AS reached, round(sum(r) OVER (ORDER BY d), 6)::DOUBLE AS cumulative FROM sh")
 def distance_shells(spark, d):  # noqa: ANN001, ANN201
-    lines, e = lines_of(spark, d, 3), co_part(spark, d, 3)
-    return rounded(metrics.shells(graph.search(linegraph.line_links(lines), e.select(F.col("edge_id").alias("node")))))
+    return rounded(metrics.shells(steps_of(spark, d, 2)))
 
 
 @query()
