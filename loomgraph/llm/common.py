@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -21,10 +22,12 @@ _own_dir: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; a temporary one of our own only where that is unset, as in tests."""
+    """The folder named in spark.checkpoint.dir; in local mode, as in tests, a temporary one of our own where that is unset."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if folder:
         return folder.rstrip("/")
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the whole cluster shares")
     if not _own_dir:
         _own_dir.append("file://" + tempfile.mkdtemp(prefix="loomgraph-"))
     return _own_dir[0]

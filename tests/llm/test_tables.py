@@ -45,6 +45,26 @@ def test_nearest(spark, hashes):
     assert ann.nearest(t.limit(0), F.lit(True)).count() == 0
 
 
+def test_nearest_in_blocks(spark):
+    """Small blocks of entries and of queries, all of one bucket, give the rows of large ones."""
+    x = np.random.default_rng(3).normal(size=(60, 4)) * 0.01 + [1, 0, 0, 0]
+    t = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    wide, small = (sorted(map(tuple, ann.nearest(t, F.col("vec_id") % 2 == 0, 3, block=b).collect())) for b in (4096, 4))
+    assert small == wide and len(wide) == 90
+
+
+def test_shared_folder_on_a_cluster():
+    from types import SimpleNamespace
+
+    from loomgraph.llm.common import shared_dir
+
+    conf = {"spark.checkpoint.dir": None}
+    spark = SimpleNamespace(conf=SimpleNamespace(get=lambda k, d=None: d), sparkContext=SimpleNamespace(master="spark://host:7077", getConf=lambda: conf))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_dir(spark)
+
+
+
 def test_rans_round_trip():
     r = np.random.default_rng(0)
     for n, high in ((1, 1), (5, 3), (token_rans.BLOCK + 12_345, 50_000), (70_000, 2)):
