@@ -9,9 +9,9 @@ On 64-dimensional unit vectors in weak clusters (nearest neighbours 60 degrees a
 over 0.95 of the true neighbours among 2,000 to 51,000 vectors. For more vectors, raise ``hashes`` and ``probes``.
 
 Scale: equal vectors are one entry with its smallest k + 1 ids (a group limit that each map task applies first), so groups of
-copies cost no more than one vector. Every entry is indexed in every table. A bucket's entries are split into blocks of about
-``block`` rows, each met by the queries that probe the bucket; a task holds one block. Only each block's best k for a query
-move on.
+copies cost no more than one vector. Every entry is indexed in every table. A bucket's entries, and the queries that probe it,
+are split into blocks of about ``block`` rows, and each block of entries meets each block of queries; a group holds one of
+each, however many rows a bucket has. Only each block's best k for a query move on.
 
 Defined cases: vectors that are null or zero, hold a null or a non-finite value, or whose length is not the table's most
 frequent one take no part, as query or candidate; equal rows count once; a query's own vec_id is no candidate; fewer
@@ -141,9 +141,15 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10, tables: int = 12,
     index = index.join(F.broadcast(sizes), ["t", "code"]) if hashes == 1 else index.join(sizes, ["t", "code"])
     index = index.withColumn("b", F.pmod(F.xxhash64("vec"), "blocks").cast("int")).drop("blocks")
     probe = asked.mapInArrow(_hasher(tables, hashes, probes, seed, "query_id"), "t int, code long, query_id long, vec binary")
+    probe = written(probe, "probes")
+    asks = probe.groupBy("t", "code").agg(F.ceil(F.count("*") / block).cast("int").alias("query_blocks"))
+    index = index.join(F.broadcast(asks) if hashes == 1 else asks, ["t", "code"])  # buckets that no query probes are left out
+    index = index.withColumn("qb", F.explode(F.sequence(F.lit(0), F.col("query_blocks") - 1))).drop("query_blocks")
+    probe = probe.join(F.broadcast(asks) if hashes == 1 else asks, ["t", "code"])
+    probe = probe.withColumn("qb", F.pmod(F.xxhash64("query_id"), "query_blocks").cast("int")).drop("query_blocks")
     probe = probe.join(F.broadcast(sizes) if hashes == 1 else sizes, ["t", "code"])
     probe = probe.withColumn("b", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
-    keys = ["t", "code", "b"]
+    keys = ["t", "code", "b", "qb"]
     found = index.groupBy(keys).cogroup(probe.groupBy(keys)).applyInPandas(_reranker(k), "query_id long, vec_id long, score double")
     best = Window.partitionBy("query_id").orderBy("score", "vec_id")
     ranked = found.distinct().withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
