@@ -1,18 +1,22 @@
 """Benchmark decontamination by size-partitioned MinHash containment search, in DataFrame functions only.
 
 A text's set is its distinct five-word shingles (fewer words: the whole sequence as one shingle). A document leaks an item
-when it holds at least ``threshold`` of the item's shingles. Items are partitioned by the size q of their sets. Within a
-partition all items have a bottom-k MinHash sketch of the same width, k = q - ceil(threshold q) + 1: of the q shingles, a
-document that holds ceil(threshold q) must hold one of any k, so the k smallest hash values of an item meet every document
-that leaks it, and none is lost. Documents, long as they are, are not sketched: each of their shingle hashes is probed in
-the sketches. Candidates are then verified by exact containment, on the shingles' words.
-
-Scale: the sketches, a few rows an item, are broadcast below a checked size and probed where the documents are read, within
-code generation; only matches move. Verification reads candidate documents again, found by a semi join of checked size.
-Beyond the checked sizes the same joins run by hash exchange. No pairs are made but those of a match.
-
-Defined cases: a null text or one without words leaks nothing and is leaked by nothing; repeated documents or items count
-once; empty tables give empty results; other columns are ignored.
+when it holds at least ``threshold`` of the item's shingles. Items are partitioned by the size q of their sets into bands of
+doubling size, [2^b, 2^(b+1)). All items of a band have a bottom-k MinHash sketch of one width, that of its greatest size
+Q = 2^(b+1) - 1: k = Q - ceil(threshold Q) + 1. As q - ceil(threshold q) never falls when q grows, k is over q - ceil(threshold q)
+for every item of the band. A leaking document lacks at most q - ceil(threshold q) of the shingles, so it holds all but that many
+of the k sketch values: that number of hits, at least one, is the lossless bound on the containment that the sketch tells, and
+pairs below it are dropped. Documents, long as they are, are not sketched: each of their shingle hashes is probed in the
+sketches. Candidates are then verified by exact containment, on the shingles' words.
+
+Scale: the sketches, a few rows an item, are broadcast while their bytes are within a checked bound and probed where the
+documents are read, within code generation; only hits move. Verification reads candidate documents again, found by a semi join
+of checked size. Beyond the bound the same joins run by hash exchange, and the rows of a hash that many documents hold are
+dealt out by document over SALTS partitions. No pairs are made but those of a match.
+
+Defined cases: a null text or one without words leaks nothing and is leaked by nothing; an item without an id is no item; rows
+of one item_id are one item, whose set is all their shingles; rows of one doc_id are judged one by one and the greatest share is
+told; a null doc_id is a value like others; empty tables give empty results; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,9 +24,35 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import GAP, lowered, small_enough, written
+from loomgraph.llm.common import GAP, lowered, written
 
-BROADCAST_ROWS = 2_000_000
+BROADCAST_BYTES = 128 << 20
+ROW_BYTES = 64
+SALTS = 16
+
+
+def _fits(df: DataFrame, limit: int, *texts: str) -> bool:
+    """Whether df, at ROW_BYTES a row and the bytes of its text columns, is within limit; df is a written table."""
+    size = sum((F.coalesce(F.octet_length(c), F.lit(0)) for c in texts), F.lit(ROW_BYTES))
+    return (df.agg(F.sum(size)).first()[0] or 0) <= limit
+
+
+def _looked_up(probed: DataFrame, table: DataFrame, on: list[str], limit: int, *texts: str) -> DataFrame:
+    """The rows of probed with those of table; a key may be in a great part of probed."""
+    if _fits(table, limit, *texts):
+        return probed.join(F.broadcast(table), on)
+    dealt = probed.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "t"), F.lit(SALTS)).cast("int"))
+    copies = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return dealt.join(copies, [*on, "_salt"]).drop("_salt")
+
+
+def _only(df: DataFrame, kept: DataFrame, limit: int) -> DataFrame:
+    """The rows of df whose columns are those of a row of kept, nulls as values."""
+    keys = kept.columns
+    kept = kept.select(*[F.col(c).alias(f"_{c}") for c in keys])
+    kept = F.broadcast(kept) if _fits(kept, limit) else kept
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in keys]
+    return df.join(kept, same, "left_semi")
 
 
 def _shingles(texts: DataFrame, keys: list[str], words: int, threshold_hash: bool) -> DataFrame:
@@ -35,31 +65,45 @@ def _shingles(texts: DataFrame, keys: list[str], words: int, threshold_hash: boo
     return each.select(*keys, F.xxhash64(*parts).alias("h")) if threshold_hash else each.select(*keys, F.concat_ws(" ", *parts).alias("s"), F.xxhash64(*parts).alias("h"))
 
 
-def leaks(docs: DataFrame, items: DataFrame, threshold: float = 0.75, words: int = 5, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """(doc_id, item_id, n_shared, n_item) of every document and item whose containment is at least threshold."""
-    hint = lambda df: F.broadcast(df) if small_enough(df, broadcast_rows) else df
-    wanted = written(_shingles(items.select("item_id", "text"), ["item_id"], words, False).distinct(), "items")
+def sketches(wanted: DataFrame, threshold: float = 0.75) -> DataFrame:
+    """(h, item_id, band, k, q, need, hits): the k smallest hashes of each item of wanted (item_id, h, s), k being its band's.
+
+    need is the least number of shingles a leaking document holds, hits the least number of those in the sketch.
+    """
     by_item = Window.partitionBy("item_id")
-    sized = wanted.withColumn("q", F.count("*").over(by_item)).withColumn("need", F.ceil(F.col("q") * F.lit(threshold) - 1e-9))
-    sized = sized.withColumn("r", F.row_number().over(by_item.orderBy("h", "s")))
-    sketch = written(sized.filter("r <= q - need + 1").select("h", "item_id"), "sketch")
-    docs = docs.select("doc_id", "text")
-    key = F.xxhash64("text").alias("t")
-    probed = _shingles(docs.select("doc_id", key, "text"), ["doc_id", "t"], words, True)
-    pairs = written(probed.join(hint(sketch), "h").select("doc_id", "t", "item_id").distinct(), "candidates")
-    some = pairs.select("doc_id", "t").distinct()
-    again = docs.withColumn("t", F.xxhash64("text")).join(hint(some), ["doc_id", "t"], "left_semi").dropDuplicates(["doc_id", "t"])
-    held = _shingles(again, ["doc_id", "t"], words, False).join(hint(wanted), ["h", "s"]).distinct()
-    held = held.join(hint(pairs), ["doc_id", "t", "item_id"], "left_semi").groupBy("doc_id", "t", "item_id").agg(F.count("*").alias("n_shared"))
-    needs = sized.groupBy("item_id").agg(F.max("q").alias("n_item"), F.max("need").alias("need"))
-    out = held.join(hint(needs), "item_id").filter("n_shared >= need")
+    least = lambda q: F.ceil(q * F.lit(threshold) - 1e-9)
+    sized = wanted.withColumn("q", F.count("*").over(by_item)).withColumn("need", least(F.col("q")))
+    sized = sized.withColumn("band", F.length(F.bin("q")) - 1).withColumn("top", F.expr("shiftleft(2L, band) - 1"))
+    sized = sized.withColumn("k", F.col("top") - least(F.col("top")) + 1)
+    ranked = sized.withColumn("r", F.dense_rank().over(by_item.orderBy("h"))).filter("r <= k")
+    hits = F.greatest(F.max("r").over(by_item) - (F.col("q") - F.col("need")), F.lit(1))
+    return ranked.withColumn("hits", hits).select("h", "item_id", "band", "k", "q", "need", "hits").distinct()
+
+
+def leaks(docs: DataFrame, items: DataFrame, threshold: float = 0.75, words: int = 5, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """(doc_id, item_id, n_shared, n_item) of every document and item whose containment is at least threshold."""
+    items = items.select("item_id", "text").filter("item_id IS NOT NULL")
+    wanted = written(_shingles(items, ["item_id"], words, False).distinct(), "items")
+    sketch = written(sketches(wanted, threshold), "sketch")
+    docs = docs.select("doc_id", "text", F.xxhash64("text").alias("t"))
+    probed = _shingles(docs, ["doc_id", "t"], words, True)
+    met = _looked_up(probed, sketch.select("h", "item_id", "hits"), ["h"], broadcast_bytes).distinct()
+    near = met.groupBy("doc_id", "t", "item_id").agg(F.count("*").alias("n"), F.max("hits").alias("hits")).filter("n >= hits")
+    pairs = written(near.select("doc_id", "t", "item_id"), "candidates")
+    some = written(pairs.select("doc_id", "t").distinct(), "candidate-texts")
+    again = _only(docs, some, broadcast_bytes).dropDuplicates(["doc_id", "t"])
+    held = _looked_up(_shingles(again, ["doc_id", "t"], words, False), wanted, ["h", "s"], broadcast_bytes, "s").distinct()
+    held = _only(held, pairs, broadcast_bytes).groupBy("doc_id", "t", "item_id").agg(F.count("*").alias("n_shared"))
+    needs = sketch.select("item_id", F.col("q").alias("n_item"), "need").distinct()
+    needs = F.broadcast(needs) if _fits(sketch, broadcast_bytes) else needs
+    out = held.join(needs, "item_id").filter("n_shared >= need")
     return out.groupBy("doc_id", "item_id").agg(F.max("n_shared").alias("n_shared"), F.max("n_item").alias("n_item"))
 
 
 def clean(docs: DataFrame, items: DataFrame, threshold: float = 0.75) -> DataFrame:
     """docs without those that leak an item; a null doc_id is matched as a value."""
     bad = written(leaks(docs, items, threshold).select(F.col("doc_id").alias("_bad")).distinct(), "leaky")
-    bad = F.broadcast(bad) if small_enough(bad, BROADCAST_ROWS) else bad
+    bad = F.broadcast(bad) if _fits(bad, BROADCAST_BYTES) else bad
     return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_bad")), "left_anti")
 
 

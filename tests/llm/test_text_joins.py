@@ -175,8 +175,8 @@ def leak_rows():
     return [*docs, (40, None), (41, ""), (3, docs[4][1]), (4, docs[4][1])], items
 
 
-@pytest.mark.parametrize("broadcast_rows", [1_000_000, 0])
-def test_leaks(spark, broadcast_rows):
+@pytest.mark.parametrize("broadcast_bytes", [1 << 27, 0])
+def test_leaks(spark, broadcast_bytes):
     docs, items = leak_rows()
     want = {}
     for i, t in docs:
@@ -186,7 +186,7 @@ def test_leaks(spark, broadcast_rows):
                 want[i, j] = max((n, len(q)), want.get((i, j), (0, 0)))
     d = spark.createDataFrame(docs, "doc_id long, text string").withColumn("item_id", F.lit(1)).withColumn("h", F.lit("x"))
     b = spark.createDataFrame(items, "item_id long, text string").withColumn("doc_id", F.lit(2))
-    got = {(r["doc_id"], r["item_id"]): (r["n_shared"], r["n_item"]) for r in decontaminate.leaks(d, b, broadcast_rows=broadcast_rows).collect()}
+    got = {(r["doc_id"], r["item_id"]): (r["n_shared"], r["n_item"]) for r in decontaminate.leaks(d, b, broadcast_bytes=broadcast_bytes).collect()}
     assert got == want and len(want) >= 4
 
 
@@ -198,6 +198,37 @@ def test_clean(spark):
     assert decontaminate.leaks(d.limit(0), b).count() == decontaminate.leaks(d, b.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("broadcast_bytes", [1 << 27, 0])
+def test_leaks_share_of_every_size(spark, broadcast_bytes):
+    """Items of all sizes to 40 shingles, in a document that holds any number of them; ids null, repeated and very long texts."""
+    r = random.Random(3)
+    items = [(q, " ".join(f"i{q}x{j}" for j in range(q + 4))) for q in range(1, 41)] + [(None, "n1 n2 n3 n4 n5"), (1, "again a b c d"), (99, None)]
+    docs = []
+    for q, t in items[:40]:
+        w = t.split()
+        for _ in range(3):
+            held = r.sample(range(q), r.randint(0, q))
+            docs.append((len(docs), " . ".join(" ".join(w[i : i + 5]) for i in held)))
+    docs += [(500, "pad " * 300_000 + items[20][1]), (None, items[20][1]), (501, "n1 n2 n3 n4 n5"), (502, items[0][1] + " again a b c d"), (502, items[0][1])]
+    d = spark.createDataFrame(docs, "doc_id long, text string").withColumn("h", F.lit(1)).withColumn("item_id", F.lit("x")).repartition(4)
+    b = spark.createDataFrame(items, "item_id long, text string").withColumn("q", F.lit(1))
+    sets = {}
+    for i, t in items:
+        if i is not None:
+            sets[i] = sets.get(i, set()) | shingles(t)
+    want = {}
+    for i, t in docs:
+        s = shingles(t)
+        for j, x in sets.items():
+            if x and 4 * len(s & x) >= 3 * len(x):
+                want[i, j] = (max(len(s & x), want.get((i, j), (0,))[0]), len(x))
+    got = {(x["doc_id"], x["item_id"]): (x["n_shared"], x["n_item"]) for x in decontaminate.leaks(d, b, broadcast_bytes=broadcast_bytes).collect()}
+    assert got == want and (None, 21) in want and (500, 21) in want
+    one = spark.createDataFrame([(7, items[39][1])], "item_id long, text string").select("item_id", F.lit(1).alias("h"), "text")
+    bands = decontaminate.sketches(decontaminate._shingles(one, ["item_id"], 5, False)).select("band", "k", "q", "need", "hits").distinct().collect()
+    assert [tuple(x) for x in bands] == [(5, 16, 40, 30, 6)]
+
+
 @pytest.mark.parametrize("broadcast_lines", [1000, 0])
 def test_line_dedup(spark, broadcast_lines):
     rows = [(i, "h" if i < 8 else None, f"own {i}\nmenu\n\nmenu\nlast {i % 2}") for i in range(12)] + [(12, "h", None), (13, "h", ""), (14, "one", "menu"), (14, "one", "menu")]
