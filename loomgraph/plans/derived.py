@@ -82,6 +82,38 @@ UNION SELECT reach.s, ll.v, min(reach.d + 1) FROM reach JOIN ll ON reach.v = ll.
 sp AS (SELECT s AS e1, v AS e2, d FROM reach)"""
 
 
+LINE_PARTS = "ll AS (SELECT e1 AS u, e2 AS v FROM l UNION ALL SELECT e2, e1 FROM l), lc AS (SELECT edge_id AS x, edge_id AS v FROM e UNION SELECT lc.x, ll.v FROM lc JOIN ll ON ll.u = lc.v), pt AS (SELECT x AS id, min(v) AS part FROM lc GROUP BY 1)"
+PARTS = "cc AS (SELECT node, node AS v FROM n UNION SELECT cc.node, b.other FROM cc JOIN b ON b.node = cc.v), pn AS (SELECT node, min(v) AS part FROM cc GROUP BY 1)"
+
+# resistances rs (e1, e2, r) of the line graph: the Laplacian plus J/n is inverted block by block, a pivot a round
+RESISTANCES = """nq AS (SELECT id, part, row_number() OVER (PARTITION BY part ORDER BY id) AS q, count(*) OVER (PARTITION BY part) AS size FROM pt),
+lk AS (SELECT u, CAST(count(*) AS DOUBLE) AS g FROM ll GROUP BY 1),
+m0 AS (SELECT x.part, x.size, x.q AS i, y.q AS j, 1.0 / x.size + CASE WHEN x.q = y.q THEN coalesce(lk.g, 0) WHEN ll.u IS NOT NULL THEN -1.0 ELSE 0.0 END AS a
+FROM nq x JOIN nq y ON x.part = y.part LEFT JOIN ll ON ll.u = x.id AND ll.v = y.id LEFT JOIN lk ON lk.u = x.id),
+gj AS (SELECT 0 AS k, part, size, i, j, a FROM m0 UNION ALL SELECT g.k + 1, g.part, g.size, g.i, g.j,
+CASE WHEN g.i = g.k + 1 AND g.j = g.k + 1 THEN 1 / p.a WHEN g.i = g.k + 1 THEN g.a / p.a WHEN g.j = g.k + 1 THEN -g.a / p.a ELSE g.a - c.a * o.a / p.a END
+FROM gj g JOIN gj p ON p.part = g.part AND p.i = g.k + 1 AND p.j = g.k + 1 JOIN gj c ON c.part = g.part AND c.i = g.i AND c.j = g.k + 1
+JOIN gj o ON o.part = g.part AND o.i = g.k + 1 AND o.j = g.j WHERE g.k < g.size),
+iv AS (SELECT x.id AS e1, y.id AS e2, a FROM gj JOIN nq x ON x.part = gj.part AND x.q = gj.i JOIN nq y ON y.part = gj.part AND y.q = gj.j WHERE k = gj.size),
+rs AS (SELECT z.e1, z.e2, x.a + y.a - 2 * z.a AS r FROM iv z JOIN iv x ON x.e1 = z.e1 AND x.e2 = z.e1 JOIN iv y ON y.e1 = z.e2 AND y.e2 = z.e2 WHERE z.e1 < z.e2)"""
+
+# number c of shortest walks wk (s, v, d, c) of each length in the line graph
+WALKS = "wk AS (SELECT edge_id AS s, edge_id AS v, 0 AS d, CAST(1 AS DOUBLE) AS c FROM e UNION ALL SELECT wk.s, ll.v, wk.d + 1, sum(wk.c) FROM wk JOIN ll ON ll.u = wk.v JOIN sp ON sp.e1 = wk.s AND sp.e2 = ll.v AND sp.d = wk.d + 1 GROUP BY 1, 2, 3)"
+
+# maximal cliques mc (m), sorted lists of at least three nodes
+CLIQUES = """nb AS (SELECT node, list(other) AS o FROM b GROUP BY 1),
+ck AS (SELECT [node] AS m, o AS com FROM nb UNION ALL SELECT list_append(m, x), list_intersect(com, nb.o) FROM (SELECT m, com, unnest(com) AS x FROM ck) JOIN nb ON nb.node = x WHERE x > m[-1]),
+mc AS (SELECT m FROM ck WHERE len(com) = 0 AND len(m) >= 3)"""
+
+
+def ranks(rounds: int) -> str:
+    """SQL table rk (node, r): PageRank of the directed weighted graph after that many rounds, jumps 0.15 to all nodes alike."""
+    return f"""ow AS (SELECT src, sum(weight) AS ow FROM w GROUP BY 1), fl AS (SELECT src, dst, weight / ow AS p FROM w JOIN ow USING (src)),
+pr AS (SELECT 0 AS i, node, CAST(1 AS DOUBLE) / (SELECT count(*) FROM n) AS r FROM n UNION ALL SELECT z.i + 1, n.node, 0.15 / z.nn + 0.85 * (coalesce(t.x, 0) + z.lost / z.nn)
+FROM n CROSS JOIN (SELECT max(i) AS i, count(*) AS nn, coalesce(sum(CASE WHEN ow.src IS NULL THEN r END), 0) AS lost FROM pr LEFT JOIN ow ON ow.src = pr.node) z
+LEFT JOIN (SELECT fl.dst AS node, sum(fl.p * pr.r) AS x FROM fl JOIN pr ON pr.node = fl.src GROUP BY 1) t ON t.node = n.node WHERE z.i < {rounds}), rk AS (SELECT node, r FROM pr WHERE i = {rounds})"""
+
+
 def inner(cover: str) -> str:
     """SQL tables kin (c, node, k_in, k) and cnt (c, n_c, m_c, cut) of a cover's table."""
     return f"""kin AS (SELECT x.c, x.node, count(y.node) AS k_in, any_value(k.degree) AS k FROM {cover} x JOIN k ON k.node = x.node

@@ -12,7 +12,7 @@ from loomgraph.functions import vectors
 from loomgraph.functions.storage import written
 from loomgraph.operators import cover, detect, directed, generate, graph, kernels, levels, linegraph, medoids, metrics, significance
 from loomgraph.plans import experiment, partition, predict
-from loomgraph.plans.derived import BRANDS, LINES, SIZES, brands_cover, co_part, inner, lines_of, reach, sizes_cover, sql, steps_of, weighted
+from loomgraph.plans.derived import BRANDS, CLIQUES, LINE_PARTS, LINES, PARTS, RESISTANCES, SIZES, WALKS, brands_cover, co_part, inner, lines_of, ranks, reach, sizes_cover, sql, steps_of, weighted
 from loomgraph.streaming import ingest
 
 QUERIES = {}
@@ -73,14 +73,14 @@ def inner_degrees(spark, d):  # noqa: ANN001, ANN201
     return graph.inner_degrees(co_part(spark, d, 2), sizes_cover(spark, d))
 
 
-@query()
+@query(sql(2, PARTS) + "SELECT src, dst FROM e JOIN pn ON pn.node = src WHERE part = (SELECT part FROM pn GROUP BY 1 ORDER BY count(*) DESC, part LIMIT 1)")
 def giant_component(spark, d):  # noqa: ANN001, ANN201
     return graph.giant(co_part(spark, d, 2).select("src", "dst"))
 
 
-@query()
+@query(sql(2, ranks(100)) + "SELECT node, round(r, 9) AS rank FROM rk")
 def pagerank(spark, d):  # noqa: ANN001, ANN201
-    return rounded(graph.pagerank(weighted(spark, d), rounds=10, tolerance=1e-9), 9)
+    return rounded(graph.pagerank(weighted(spark, d)), 9)
 
 
 # ---- line graph and distances ----
@@ -101,17 +101,19 @@ def distance_shortest_path(spark, d):  # noqa: ANN001, ANN201
     return linegraph.shortest_paths(co_part(spark, d, 3), lines_of(spark, d, 3))
 
 
-@query()
+@query(sql(3, LINES, reach(), WALKS, "g AS (SELECT s AS e, d AS k, sum(c) AS g FROM wk WHERE d > 0 GROUP BY 1, 2), sh AS (SELECT e, k, g / sum(g) OVER (PARTITION BY k) AS s FROM g), t AS (SELECT x.e AS e1, y.e AS e2, sum(x.k * x.s * y.s) AS d FROM sh x JOIN sh y ON x.k = y.k AND x.e < y.e GROUP BY 1, 2)")
+       + "SELECT x.edge_id AS e1, y.edge_id AS e2, round(coalesce(t.d, 0), 9) AS d FROM e x JOIN e y ON x.edge_id < y.edge_id LEFT JOIN t ON t.e1 = x.edge_id AND t.e2 = y.edge_id")
 def distance_generalised_degree(spark, d):  # noqa: ANN001, ANN201
     return rounded(linegraph.generalised_degree(co_part(spark, d, 3), lines_of(spark, d, 3)), 9)
 
 
-@query()
+@query(sql(3, LINES, LINE_PARTS, RESISTANCES) + "SELECT e1, e2, round(sqrt(greatest(2.0 * (SELECT count(*) FROM l) * r, 0)), 6) AS d FROM rs")
 def distance_commute(spark, d):  # noqa: ANN001, ANN201
     return rounded(linegraph.commute(co_part(spark, d, 3), lines_of(spark, d, 3)))
 
 
-@query()
+@query(sql(3, LINES, LINE_PARTS, RESISTANCES, "q2 AS (SELECT rs.e1, rs.e2, r - 1 / x.g - 1 / y.g + CASE WHEN l.e1 IS NULL THEN 0 ELSE 2 / (x.g * y.g) END AS d2 FROM rs JOIN lk x ON x.u = rs.e1 JOIN lk y ON y.u = rs.e2 LEFT JOIN l ON l.e1 = rs.e1 AND l.e2 = rs.e2)")
+       + "SELECT e1, e2, round(CASE WHEN d2 >= -1e-12 THEN sqrt(greatest(d2, 0)) END, 6) AS d FROM q2")
 def distance_amplified_commute(spark, d):  # noqa: ANN001, ANN201
     return rounded(linegraph.amplified_commute(co_part(spark, d, 3), lines_of(spark, d, 3)))
 
@@ -210,7 +212,8 @@ def similar_communities(spark, d):  # noqa: ANN001, ANN201
     return rounded(cover.similar(brands_cover(spark, d), 0.1))
 
 
-@query()
+@query(sql(2, BRANDS, _PAIRS, "nr AS (SELECT c1, c2 FROM ov JOIN z x ON x.c = c1 JOIN z y ON y.c = c2 WHERE shared >= 0.1 * least(x.n, y.n)), od AS (SELECT c, row_number() OVER (ORDER BY n DESC, c) AS r FROM z), rv AS (SELECT x.r, x.c, list(y.c) FILTER (y.c IS NOT NULL) AS better FROM od x LEFT JOIN (SELECT c1 AS a, c2 AS o FROM nr UNION ALL SELECT c2, c1 FROM nr) p ON p.a = x.c LEFT JOIN od y ON y.c = p.o AND y.r < x.r GROUP BY 1, 2), st AS (SELECT 0 AS i, CAST([] AS BIGINT[]) AS kept UNION ALL SELECT i + 1, CASE WHEN list_has_any(kept, coalesce(better, [])) THEN kept ELSE list_append(kept, c) END FROM st JOIN rv ON rv.r = st.i + 1)")
+       + "SELECT c, node FROM r WHERE list_contains((SELECT kept FROM st ORDER BY i DESC LIMIT 1), c)")
 def suppressed_cover(spark, d):  # noqa: ANN001, ANN201
     c = brands_cover(spark, d)
     return cover.suppress(c, c.select("c").distinct().withColumn("score", F.lit(0.0)), 0.1)
@@ -449,12 +452,13 @@ def maximal_triangles(spark, d):  # noqa: ANN001, ANN201
     return m.select(F.array_join(F.transform("members", lambda x: x.cast("string")), " ").alias("members"))
 
 
-@query()
+@query(sql(2, CLIQUES) + "SELECT array_to_string(m, ' ') AS members FROM mc")
 def maximal_cliques(spark, d):  # noqa: ANN001, ANN201
-    return kernels.cliques(co_part(spark, d, 2), 3)
+    return kernels.cliques(co_part(spark, d, 2), 3).select(F.array_join(F.transform("members", lambda x: x.cast("string")), " ").alias("members"))
 
 
-@query()
+@query(sql(2, CLIQUES, "ic AS (SELECT row_number() OVER (ORDER BY m) - 1 AS c, m FROM mc), im AS (SELECT c, unnest(m) AS node FROM ic), sc AS (SELECT x.c AS a, y.c AS o FROM im x JOIN im y ON x.node = y.node AND x.c <> y.c GROUP BY 1, 2 HAVING count(*) >= 2), cp AS (SELECT c, c AS v FROM ic UNION SELECT cp.c, sc.o FROM cp JOIN sc ON sc.a = cp.v)")
+       + "SELECT DISTINCT g.c, im.node FROM (SELECT c AS id, min(v) AS c FROM cp GROUP BY 1) g JOIN im ON im.c = g.id")
 def clique_percolation(spark, d):  # noqa: ANN001, ANN201
     return detect.percolation(detect.clique_ids(kernels.cliques(co_part(spark, d, 2), 3)), 3)
 
@@ -484,7 +488,7 @@ def infomap(spark, d):  # noqa: ANN001, ANN201
     return kernels.infomap_partition(weighted(spark, d))
 
 
-@query()
+@query(sql(2, "vb AS (SELECT node, other FROM b UNION ALL SELECT node, node FROM n), lp AS (SELECT 0 AS i, node, node AS c FROM n UNION ALL SELECT i + 1, node, first(c ORDER BY k DESC, c) FROM (SELECT lp.i, vb.node, lp.c, count(*) AS k FROM vb JOIN lp ON lp.node = vb.other WHERE lp.i < 30 GROUP BY 1, 2, 3) GROUP BY i, node)") + "SELECT c, node FROM lp WHERE i = 30")
 def label_propagation(spark, d):  # noqa: ANN001, ANN201
     return detect.label_propagation(co_part(spark, d, 2))
 
@@ -514,10 +518,11 @@ def cleaned_seeds(spark, d):  # noqa: ANN001, ANN201
     return significance.cleaned_seeds(co_part(spark, d, 3), sizes_cover(spark, d, 3))
 
 
-@query()
+@query(sql(2, SIZES, ranks(100), "md AS (SELECT s.c, sum(r) AS p, sum(CASE WHEN ow.src IS NULL THEN r ELSE 0.15 * r END) AS j, count(*) * 1.0 / (SELECT count(*) FROM n) AS f FROM s JOIN rk USING (node) LEFT JOIN ow ON ow.src = s.node GROUP BY 1), lv AS (SELECT x.c, sum(0.85 * r * p) AS o FROM fl JOIN rk ON rk.node = fl.src JOIN s x ON x.node = fl.src JOIN s y ON y.node = fl.dst WHERE x.c <> y.c GROUP BY 1), q AS (SELECT p, coalesce(o, 0) + j * (1 - f) AS q FROM md LEFT JOIN lv USING (c))")
+       + "SELECT round((SELECT sum(q) * log2(sum(q)) - 2 * sum(CASE WHEN q > 1e-16 THEN q * log2(q) ELSE 0 END) + sum((q + p) * log2(q + p)) FROM q) - (SELECT sum(r * log2(r)) FROM rk), 6) AS codelength")
 def directed_codelength(spark, d):  # noqa: ANN001, ANN201
     e = weighted(spark, d)
-    return rounded(directed.codelength(e, sizes_cover(spark, d), ranks=written(graph.pagerank(e, rounds=10, tolerance=1e-9), "ranks")))
+    return rounded(directed.codelength(e, sizes_cover(spark, d), ranks=written(graph.pagerank(e), "ranks")))
 
 
 @query()
