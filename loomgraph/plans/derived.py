@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.functions.storage import written
 from loomgraph.operators import graph, linegraph
+from loomgraph.plans import known
 
 
 @lru_cache(64)
@@ -40,6 +41,11 @@ def weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return written(pairs.filter("weight >= 2"), "weighted")
 
 
+def club(spark: SparkSession) -> DataFrame:
+    """(edge_id, src, dst): the karate club, small enough for every distance and for the exact search."""
+    return graph.with_ids(spark.createDataFrame(known.links(known.KARATE), "src long, dst long"))
+
+
 def sizes_cover(spark: SparkSession, sf_dir: str, orders: int = 2) -> DataFrame:
     """(c, node): the graph's parts by size, a partition."""
     part = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_size").cast("long").alias("c"), F.col("p_partkey").alias("node"))
@@ -56,9 +62,19 @@ def brands_cover(spark: SparkSession, sf_dir: str, orders: int = 2) -> DataFrame
 
 def sql(orders: int = 2, *more: str) -> str:
     """WITH e (edge_id, src, dst), w (src, dst, weight), n (node), inc (edge_id, node), b (node, other) and more tables."""
+    return _tables(f"""li AS (SELECT DISTINCT l_orderkey AS o, l_partkey AS p FROM lineitem),
+w AS (SELECT a.p AS src, b.p AS dst, CAST(count(*) AS DOUBLE) AS weight FROM li a JOIN li b ON a.o = b.o AND a.p < b.p GROUP BY 1, 2 HAVING count(*) >= {orders})""", more)
+
+
+def club_sql(*more: str) -> str:
+    """The same tables of the links of the karate club."""
+    values = ", ".join(f"({a}, {b}, 1.0)" for a, b in known.links(known.KARATE))
+    return _tables(f"w AS (SELECT CAST(src AS BIGINT) AS src, CAST(dst AS BIGINT) AS dst, CAST(weight AS DOUBLE) AS weight FROM (VALUES {values}) t(src, dst, weight))", more)
+
+
+def _tables(w: str, more: tuple[str, ...]) -> str:
     return f"""
-WITH RECURSIVE li AS (SELECT DISTINCT l_orderkey AS o, l_partkey AS p FROM lineitem),
-w AS (SELECT a.p AS src, b.p AS dst, CAST(count(*) AS DOUBLE) AS weight FROM li a JOIN li b ON a.o = b.o AND a.p < b.p GROUP BY 1, 2 HAVING count(*) >= {orders}),
+WITH RECURSIVE {w},
 e AS (SELECT row_number() OVER (ORDER BY src, dst) AS edge_id, src, dst FROM w),
 n AS (SELECT DISTINCT node FROM (SELECT src AS node FROM e UNION ALL SELECT dst FROM e)),
 inc AS (SELECT edge_id, src AS node FROM e UNION ALL SELECT edge_id, dst FROM e),
@@ -97,6 +113,25 @@ JOIN gj o ON o.part = g.part AND o.i = g.k + 1 AND o.j = g.j WHERE g.k < g.size)
 iv AS (SELECT x.id AS e1, y.id AS e2, a FROM gj JOIN nq x ON x.part = gj.part AND x.q = gj.i JOIN nq y ON y.part = gj.part AND y.q = gj.j WHERE k = gj.size),
 rs AS (SELECT z.e1, z.e2, x.a + y.a - 2 * z.a AS r FROM iv z JOIN iv x ON x.e1 = z.e1 AND x.e2 = z.e1 JOIN iv y ON y.e1 = z.e2 AND y.e2 = z.e2 WHERE z.e1 < z.e2)"""
 
+GENERALISED = """g AS (SELECT s AS e, d AS k, sum(c) AS g FROM wk WHERE d > 0 GROUP BY 1, 2), sh AS (SELECT e, k, g / sum(g) OVER (PARTITION BY k) AS s FROM g),
+t AS (SELECT x.e AS e1, y.e AS e2, sum(x.k * x.s * y.s) AS d FROM sh x JOIN sh y ON x.k = y.k AND x.e < y.e GROUP BY 1, 2),
+gd AS (SELECT x.edge_id AS e1, y.edge_id AS e2, coalesce(t.d, 0) AS d FROM e x JOIN e y ON x.edge_id < y.edge_id LEFT JOIN t ON t.e1 = x.edge_id AND t.e2 = y.edge_id)"""
+COMMUTE = "cm AS (SELECT e1, e2, sqrt(greatest(2.0 * (SELECT count(*) FROM l) * r, 0)) AS d FROM rs)"
+AMPLIFIED = """q2 AS (SELECT rs.e1, rs.e2, r - 1 / x.g - 1 / y.g + CASE WHEN l.e1 IS NULL THEN 0 ELSE 2 / (x.g * y.g) END AS d2
+FROM rs JOIN lk x ON x.u = rs.e1 JOIN lk y ON y.u = rs.e2 LEFT JOIN l ON l.e1 = rs.e1 AND l.e2 = rs.e2), am AS (SELECT e1, e2, CASE WHEN d2 >= -1e-12 THEN sqrt(greatest(d2, 0)) END AS d FROM q2)"""
+
+
+def two_medoids(distance: str) -> str:
+    """SQL tables a (edge_id, cluster_id) and bl (node, c, n_edges, belonging): all pairs of medoids tried, numbers in 12 digits."""
+    digits = lambda x: f"CASE WHEN {x} = 0 THEN 0 ELSE round({x} * pow(10, 11 - floor(log10({x})))) / pow(10, 11 - floor(log10({x}))) END"
+    return f"""dd AS (SELECT x, y, {digits('d')} AS d FROM (SELECT e1 AS x, e2 AS y, d FROM {distance} UNION ALL SELECT e2, e1, d FROM {distance} UNION ALL SELECT edge_id, edge_id, 0.0 FROM e)),
+co AS (SELECT p.y AS m1, q.y AS m2, sum(least(p.d, q.d)) AS cost FROM dd p JOIN dd q ON p.x = q.x AND p.y < q.y GROUP BY 1, 2),
+md AS (SELECT m1, m2 FROM co ORDER BY {digits('cost')}, m1, m2 LIMIT 1),
+a AS (SELECT p.x AS edge_id, CASE WHEN q.d < p.d THEN m2 ELSE m1 END AS cluster_id FROM md JOIN dd p ON p.y = m1 JOIN dd q ON q.y = m2 AND q.x = p.x),
+mb AS (SELECT node, dense_rank() OVER (ORDER BY cluster_id) AS c, n_edges FROM (SELECT node, cluster_id, count(*) AS n_edges FROM inc JOIN a USING (edge_id) GROUP BY 1, 2)),
+bl AS (SELECT node, c, n_edges, n_edges / sum(n_edges) OVER (PARTITION BY node) AS belonging FROM mb)"""
+
+
 # number c of shortest walks wk (s, v, d, c) of each length in the line graph
 WALKS = "wk AS (SELECT edge_id AS s, edge_id AS v, 0 AS d, CAST(1 AS DOUBLE) AS c FROM e UNION ALL SELECT wk.s, ll.v, wk.d + 1, sum(wk.c) FROM wk JOIN ll ON ll.u = wk.v JOIN sp ON sp.e1 = wk.s AND sp.e2 = ll.v AND sp.d = wk.d + 1 GROUP BY 1, 2, 3)"
 

@@ -12,7 +12,10 @@ from loomgraph.functions import vectors
 from loomgraph.functions.storage import written
 from loomgraph.operators import cover, detect, directed, generate, graph, kernels, levels, linegraph, medoids, metrics, significance
 from loomgraph.plans import experiment, partition, predict
-from loomgraph.plans.derived import BRANDS, CLIQUES, LINE_PARTS, LINES, PARTS, RESISTANCES, SIZES, WALKS, brands_cover, co_part, inner, lines_of, ranks, reach, sizes_cover, sql, steps_of, weighted
+from loomgraph.plans.derived import (
+    AMPLIFIED, BRANDS, CLIQUES, COMMUTE, GENERALISED, LINE_PARTS, LINES, PARTS, RESISTANCES, SIZES, WALKS, brands_cover, club, club_sql, co_part,
+    inner, lines_of, ranks, reach, sizes_cover, sql, steps_of, two_medoids, weighted,
+)
 from loomgraph.streaming import ingest
 
 QUERIES = {}
@@ -101,19 +104,17 @@ def distance_shortest_path(spark, d):  # noqa: ANN001, ANN201
     return linegraph.shortest_paths(co_part(spark, d, 3), lines_of(spark, d, 3))
 
 
-@query(sql(3, LINES, reach(), WALKS, "g AS (SELECT s AS e, d AS k, sum(c) AS g FROM wk WHERE d > 0 GROUP BY 1, 2), sh AS (SELECT e, k, g / sum(g) OVER (PARTITION BY k) AS s FROM g), t AS (SELECT x.e AS e1, y.e AS e2, sum(x.k * x.s * y.s) AS d FROM sh x JOIN sh y ON x.k = y.k AND x.e < y.e GROUP BY 1, 2)")
-       + "SELECT x.edge_id AS e1, y.edge_id AS e2, round(coalesce(t.d, 0), 9) AS d FROM e x JOIN e y ON x.edge_id < y.edge_id LEFT JOIN t ON t.e1 = x.edge_id AND t.e2 = y.edge_id")
+@query(sql(3, LINES, reach(), WALKS, GENERALISED) + "SELECT e1, e2, round(d, 9) AS d FROM gd")
 def distance_generalised_degree(spark, d):  # noqa: ANN001, ANN201
     return rounded(linegraph.generalised_degree(co_part(spark, d, 3), lines_of(spark, d, 3)), 9)
 
 
-@query(sql(3, LINES, LINE_PARTS, RESISTANCES) + "SELECT e1, e2, round(sqrt(greatest(2.0 * (SELECT count(*) FROM l) * r, 0)), 6) AS d FROM rs")
+@query(sql(3, LINES, LINE_PARTS, RESISTANCES, COMMUTE) + "SELECT e1, e2, round(d, 6) AS d FROM cm")
 def distance_commute(spark, d):  # noqa: ANN001, ANN201
     return rounded(linegraph.commute(co_part(spark, d, 3), lines_of(spark, d, 3)))
 
 
-@query(sql(3, LINES, LINE_PARTS, RESISTANCES, "q2 AS (SELECT rs.e1, rs.e2, r - 1 / x.g - 1 / y.g + CASE WHEN l.e1 IS NULL THEN 0 ELSE 2 / (x.g * y.g) END AS d2 FROM rs JOIN lk x ON x.u = rs.e1 JOIN lk y ON y.u = rs.e2 LEFT JOIN l ON l.e1 = rs.e1 AND l.e2 = rs.e2)")
-       + "SELECT e1, e2, round(CASE WHEN d2 >= -1e-12 THEN sqrt(greatest(d2, 0)) END, 6) AS d FROM q2")
+@query(sql(3, LINES, LINE_PARTS, RESISTANCES, AMPLIFIED) + "SELECT e1, e2, round(d, 6) AS d FROM am")
 def distance_amplified_commute(spark, d):  # noqa: ANN001, ANN201
     return rounded(linegraph.amplified_commute(co_part(spark, d, 3), lines_of(spark, d, 3)))
 
@@ -127,6 +128,50 @@ def resistance_totals(spark, d):  # noqa: ANN001, ANN201
     return rounded(r.join(comp.withColumnRenamed("node", "e1"), "e1").groupBy("component").agg(F.sum("r").alias("total")))
 
 
+# ---- the whole method on the karate club, whose distances are dense and whose medoids SQL can search ----
+
+_CLUB = (LINES, LINE_PARTS, RESISTANCES)
+
+
+@query(club_sql(LINES, reach()) + "SELECT e1, e2, CAST(d AS DOUBLE) AS d FROM sp")
+def club_shortest_path(spark, d):  # noqa: ANN001, ANN201
+    e = club(spark)
+    return linegraph.shortest_paths(e, linegraph.line_graph(e))
+
+
+@query(club_sql(LINES, reach(), WALKS, GENERALISED) + "SELECT e1, e2, round(d, 9) AS d FROM gd")
+def club_generalised_degree(spark, d):  # noqa: ANN001, ANN201
+    e = club(spark)
+    return rounded(linegraph.generalised_degree(e, linegraph.line_graph(e)), 9)
+
+
+@query(club_sql(*_CLUB, COMMUTE) + "SELECT e1, e2, round(d, 6) AS d FROM cm")
+def club_commute(spark, d):  # noqa: ANN001, ANN201
+    e = club(spark)
+    return rounded(linegraph.commute(e, linegraph.line_graph(e)))
+
+
+@query(club_sql(*_CLUB, AMPLIFIED) + "SELECT e1, e2, round(d, 6) AS d FROM am")
+def club_amplified_commute(spark, d):  # noqa: ANN001, ANN201
+    e = club(spark)
+    return rounded(linegraph.amplified_commute(e, linegraph.line_graph(e)))
+
+
+@query(club_sql(*_CLUB, AMPLIFIED, two_medoids("am")) + "SELECT edge_id, cluster_id FROM a")
+def club_clusters(spark, d):  # noqa: ANN001, ANN201
+    return partition.link_partition(club(spark), 2, "acm", "pmp").clusters.select("edge_id", "cluster_id")
+
+
+@query(club_sql(*_CLUB, AMPLIFIED, two_medoids("am")) + "SELECT node, c, n_edges, round(belonging, 6) AS belonging FROM bl")
+def club_members(spark, d):  # noqa: ANN001, ANN201
+    return rounded(partition.link_partition(club(spark), 2, "acm", "pmp").members)
+
+
+@query(club_sql(*_CLUB, COMMUTE, two_medoids("cm")) + "SELECT c, node FROM bl WHERE belonging >= 0.4")
+def club_cover(spark, d):  # noqa: ANN001, ANN201
+    return partition.link_partition(club(spark), 2, "cm", "pmp", 0.4).cover
+
+
 # ---- from medoids to covers ----
 
 _FIXED = (

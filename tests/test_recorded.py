@@ -3,14 +3,10 @@
 import pytest
 
 from loomgraph.operators import cover, graph, linegraph, metrics
-from loomgraph.plans import experiment, partition
+from loomgraph.plans import experiment, known, partition
+from loomgraph.plans.known import KARATE
 
-# fixed values: links of Zachary's karate club, and of a benchmark graph of 30 nodes with its planted communities
-KARATE = """
-1-2 1-3 1-4 1-5 1-6 1-7 1-8 1-9 1-11 1-12 1-13 1-14 1-18 1-20 1-22 1-32 2-3 2-4 2-8 2-14 2-18 2-20 2-22 2-31 3-4 3-8 3-9 3-10 3-14 3-28 3-29 3-33 4-8
-4-13 4-14 5-7 5-11 6-7 6-11 6-17 7-17 9-31 9-33 9-34 10-34 14-34 15-33 15-34 16-33 16-34 19-33 19-34 20-34 21-33 21-34 23-33 23-34 24-26 24-28 24-30
-24-33 24-34 25-26 25-28 25-32 26-32 27-30 27-34 28-34 29-32 29-34 30-33 30-34 31-33 31-34 32-33 32-34 33-34
-"""
+# fixed values: links of a benchmark graph of 30 nodes with its planted communities
 BENCH = """
 1-29 1-30 2-29 2-30 3-24 3-29 4-12 4-17 5-27 5-28 6-23 6-25 7-8 7-28 8-25 9-26 9-28 10-11 10-19 11-19 12-19 12-27 13-24 13-29 13-30 14-22 14-25 14-26
 15-24 15-29 15-30 16-21 16-23 16-27 17-19 17-20 18-21 18-29 18-30 20-21 20-22 20-27 21-26 21-30 22-23 22-27 22-28 23-26 23-28 23-30 24-27 24-29 24-30
@@ -21,7 +17,7 @@ CLUB = [[1, 2, 3, 4, 5, 6, 7, 8, 11, 12, 13, 14, 17, 18, 20, 22], [9, 10, 15, 16
 
 
 def links(spark, text):
-    return spark.createDataFrame([tuple(map(int, x.split("-"))) for x in text.split()], "src long, dst long")
+    return spark.createDataFrame(known.links(text), "src long, dst long")
 
 
 def communities(spark, lists):
