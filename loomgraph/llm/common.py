@@ -10,6 +10,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -96,6 +97,10 @@ BYTE_WORDS = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.u
 LOWER_WORDS = BYTE_WORDS[[b + 32 if 65 <= b <= 90 else b for b in range(256)]]
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
+OTHER_WORDS = np.random.default_rng(20240301).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+OTHER_WORDS = OTHER_WORDS[[b + 32 if 65 <= b <= 90 else b for b in range(256)]]
+LOWERED = bytes.maketrans(UPPER.encode(), LOWER.encode())
+LONG = 32  #: bytes beyond which a segment is hashed by XXH64
 _BASE = 0x9E3779B97F4A7C15
 _PIECE = 1 << 18
 _powers: dict[str, np.ndarray] = {}
@@ -121,7 +126,11 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 def segment_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, words: np.ndarray = LOWER_WORDS) -> np.ndarray:
-    """64-bit hash of data[start:end] for each ascending, non-overlapping segment; pieces of about 256 KB at a time."""
+    """64-bit hash of data[start:end] for each ascending, non-overlapping segment; pieces of about 256 KB at a time.
+
+    A polynomial modulo 2^64 over the values that words gives to bytes, whatever its base, maps some long segments alike, such as
+    a Thue-Morse sequence of 1,024 bytes and its complement; segments beyond LONG bytes, their A-Z lowered, are hashed by XXH64.
+    """
     out = np.empty(len(starts), np.uint64)
     i = 0
     with np.errstate(over="ignore"):
@@ -134,6 +143,9 @@ def segment_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, words
             s, e = starts[i:j] - lo, ends[i:j] - lo
             out[i:j] = (total[e] - total[s]) * down[s] + (e - s).astype(np.uint64)
             i = j
+        seed = int(words[0])
+        for i in np.flatnonzero(ends - starts > LONG).tolist():
+            out[i] = xxhash.xxh64_intdigest(data[starts[i] : ends[i]].tobytes().translate(LOWERED), seed)
     return mix(out)
 
 

@@ -19,7 +19,7 @@ Candidate pairs are first held against bit sketches of the whole sets, two to si
 so their Hamming distance, too, is at most the symmetric difference, and pairs beyond (a + b) / 7 drop out. Sketches of
 different lengths are folded to the shorter one by XOR, which keeps the bound.
 
-Verification is exact, on the sets of whole texts. A bucket first pairs each member with its smallest member. Linked classes
+Verification is on the sets of whole texts, by a second hash of each shingle that is independent of the one that found the pair. A bucket first pairs each member with its smallest member. Linked classes
 are contracted, and only buckets that still hold members of different components look further, buckets of equal members once:
 they are dealt in blocks to tasks that compare bit sketches across components by vector operations. What leaves such a task is
 a row for each member that has a partner within the bound, never a pair. These members meet once more, with their texts, in the
@@ -415,7 +415,7 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _unpacked(packed: bytes) -> np.ndarray:
     text = zstandard.ZstdDecompressor().decompress(packed)
-    return next(iter(shingle_sets(pa.array([text], pa.binary()).cast(pa.string()))))[0]
+    return next(iter(shingle_sets(pa.array([text], pa.binary()).cast(pa.string()), other=True)))[0]
 
 
 class _Sets:

@@ -7,28 +7,28 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-from loomgraph.llm.common import LOWER_WORDS, buffers, mix, segment_hashes, word_spans
+from loomgraph.llm.common import LOWER_WORDS, OTHER_WORDS, buffers, mix, segment_hashes, word_spans
 
 _STEP = np.uint64(0xC2B2AE3D27D4EB4F)
 
 
-def shingle_sets(column: pa.Array, words: int = 5, budget: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def shingle_sets(column: pa.Array, words: int = 5, budget: int = 1 << 20, other: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """For runs of texts of about budget bytes: all their sets, each in ascending order one after another, and their sizes.
 
     Words are runs of characters other than the space and U+0009 to U+000D, A-Z lowered. A text of fewer words is one shingle
-    of all its words; a null text or one without words has an empty set.
+    of all its words; a null text or one without words has an empty set. other: by a second hash, independent of the first.
     """
     data, at = buffers(column)
     i = 0
     while i < len(at) - 1:
         j = max(i + 1, int(np.searchsorted(at, at[i] + budget, "right")) - 1)
-        yield _sets(data, at[i : j + 1], words)
+        yield _sets(data, at[i : j + 1], words, OTHER_WORDS if other else LOWER_WORDS)
         i = j
 
 
-def _sets(data: np.ndarray, at: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
+def _sets(data: np.ndarray, at: np.ndarray, words: int, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     starts, ends, first = word_spans(data, at)
-    w = segment_hashes(data, starts, ends, LOWER_WORDS)
+    w = segment_hashes(data, starts, ends, table)
     n = np.diff(first)
     with np.errstate(over="ignore"):
         if len(w) >= words:

@@ -254,3 +254,19 @@ def test_line_dedup_of_many_and_long_lines(spark, broadcast):
     want = {i: None if t is None else "\n".join(x for x in t.split("\n") if x not in bad[h]) for i, t, h in rows}
     got = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string, source string"), broadcast_lines=broadcast)
     assert {x["doc_id"]: x["text"] for x in got.collect()} == want
+
+
+def thue_morse(k, a, b):
+    word = a
+    for _ in range(k):
+        word += word.translate(str.maketrans(a + b, b + a))
+    return word
+
+
+def test_words_that_a_polynomial_hash_maps_alike(spark):
+    """A Thue-Morse word of 1,024 letters and its complement share nothing, alone or in shingles."""
+    one, two = thue_morse(10, "a", "b"), thue_morse(10, "b", "a")
+    assert len(one) == 1024 and one != two
+    rows = [(1, one), (2, two), (3, f"x y z {one} w v u"), (4, f"x y z {two} w v u"), (5, one.upper()), (6, two + "c")]
+    got = ngram_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == {1: 1, 2: 2, 3: 3, 4: 4, 5: 1, 6: 6}
