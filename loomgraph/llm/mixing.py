@@ -3,9 +3,10 @@
 Every source gets a target number of words: its weight's share of the whole budget, stopped at ``max_repeat`` times what
 the source holds; what is above goes to the others by weight until none is above. Whole passes over a source come first.
 For the rest of the target, documents are counted by exact length; each length first gives its proportional share of
-documents, long lengths then fill what is left while it is large, and a bounded-knapsack dynamic programme over the
-remaining counts finds the subset that comes nearest to the remaining budget, from below or above. What stays large has only
-documents of about its own size or longer left, and the nearest sum of those is found directly. Which documents of a length
+documents, and a bounded-knapsack dynamic programme over the remaining counts finds the subset that comes nearest to the
+remaining budget, from below or above. While that misses the budget, shares are given back and the programme runs over a wider
+window, at last over the whole budget; only beyond 2^25 words (or four of the longest documents) does the window end, and the
+sum is then the nearest that changes within it reach. Which documents of a length
 are taken is decided by a seeded hash, so reruns agree.
 
 Scale: texts never shuffle. One pass writes (source, size, hash) rows; they are counted by (source, size), and a source's
@@ -29,7 +30,8 @@ from pyspark.sql import functions as F
 
 from loomgraph.llm.common import n_words, small_enough, written
 
-EXACT = 1 << 16  #: the dynamic programme runs over budgets of at most this many words; beyond it at most two documents count
+FIRST = 1 << 16  #: words of the first window of the dynamic programme
+WINDOW = 1 << 25  #: words of the widest one
 BROADCAST_ROWS = 1_000_000
 BUCKET = 1000
 
@@ -54,73 +56,72 @@ def targets(totals: dict, weights: list, max_repeat: int = 3) -> dict:
 
 def nearest_subset(lengths: np.ndarray, counts: np.ndarray, budget: int, above: int = 0) -> np.ndarray:
     """Bounded knapsack: how many of each length to take so that the sum comes nearest to budget, by at most ``above`` from
-    above; the lower one of equals."""
+    above; the lower one of equals.
+
+    Sums that can be reached are the bits of one large integer. A length's count is split into powers of two, each one item that
+    shifts the integer; the item that reaches a sum first is kept, so the way back to zero uses each item at most once.
+    """
     take, top = np.zeros(len(lengths), np.int64), budget + above
-    reached = np.zeros(top + 1, bool)
-    reached[0] = True
-    last = np.full(top + 1, -1, np.int64)
+    last = np.full(top + 1, -1, np.int32)
+    reached, within, items = 1, (1 << (top + 1)) - 1, []
     for i in np.flatnonzero((lengths > 0) & (lengths <= top) & (counts > 0)):
-        length, edge = int(lengths[i]), reached
-        for _ in range(min(int(counts[i]), top // length)):
-            fresh = np.zeros(top + 1, bool)
-            fresh[length:] = edge[:-length]
-            fresh &= ~reached
-            if not fresh.any():
-                break
-            last[fresh] = i
-            reached = reached | fresh
-            edge = fresh
-        if reached[budget]:
-            break
-    sums = np.flatnonzero(reached)
-    at = int(sums[np.abs(sums - budget).argmin()])
+        left, power = min(int(counts[i]), top // int(lengths[i])), 1
+        while left and not reached >> budget & 1:
+            n = min(power, left)
+            left, power = left - n, power * 2
+            shift = n * int(lengths[i])
+            fresh = (reached << shift) & within & ~reached
+            if fresh:
+                at = shift & ~7  # no bit below the shift is fresh
+                bits = np.frombuffer((fresh >> at).to_bytes((top - at) // 8 + 1, "little"), np.uint8)
+                last[at + np.flatnonzero(np.unpackbits(bits, bitorder="little"))] = len(items)
+                items.append((i, n, shift))
+                reached |= fresh
+    below = (reached & ((1 << (budget + 1)) - 1)).bit_length() - 1
+    over = reached >> (budget + 1)
+    gap = (over & -over).bit_length()  # how far the nearest sum above is, 0 for none
+    at = budget + gap if gap and gap < budget - below else below
     while at:
-        take[last[at]] += 1
-        at -= int(lengths[last[at]])
+        i, n, shift = items[last[at]]
+        take[i] += n
+        at -= shift
     return take
 
 
-def nearest_few(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
-    """The same over any budget that any two documents exceed: none, one of any length, or the two shortest."""
-    left = np.flatnonzero((lengths > 0) & (counts > 0))
-    left = left[np.argsort(lengths[left], kind="stable")]
-    options = [[], *([i] for i in left), np.repeat(left[:2], np.minimum(counts[left[:2]], 2))[:2]]
-    best = min(options, key=lambda o: (abs(int(lengths[o].sum()) - budget) if len(o) else budget, len(o)))
-    return np.bincount(np.array(best, np.int64), minlength=len(lengths)).astype(np.int64)
-
-
-def fit_lengths(lengths: np.ndarray, counts: np.ndarray, budget: int, swap: bool = True) -> np.ndarray:
+def fit_lengths(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
     """How many documents of each length to take so that their words come nearest to budget.
 
-    swap: where the words miss it, giving back what is above is tried too, after one document more or none.
+    The programme first runs over what proportional shares leave; long lengths fill that down to a window of at least four of the
+    longest documents. While it misses the budget, shares are given back and it runs over windows four times as wide, until
+    all is in the programme or a window reaches WINDOW words.
     """
     total = int((lengths * counts).sum())
     if budget <= 0 or not total:
         return np.zeros(len(lengths), np.int64)
-    take = np.array([int(c) * budget // total for c in counts], np.int64)
-    rest = budget - int((lengths * take).sum())
-    for i in np.argsort(-lengths, kind="stable"):
-        if rest <= EXACT:
-            break
-        if lengths[i]:
-            more = min(int(counts[i] - take[i]), (rest - EXACT // 2) // int(lengths[i]))
-            take[i] += max(more, 0)
-            rest -= max(more, 0) * int(lengths[i])
-    left = counts - take
-    if rest > EXACT:  # all that is left is longer than rest - EXACT / 2, and so any two exceed rest
-        out = take + nearest_few(lengths, left, rest)
-    else:
-        out = take + nearest_subset(lengths, left, rest)
-        missed = budget - int((lengths * out).sum())
-        if missed > 1:
-            out = take + nearest_subset(lengths, left, rest, missed - 1)
-    missed = budget - int((lengths * out).sum())
-    longer = np.flatnonzero((counts > out) & (lengths > max(missed, 0)))
-    tried = [out]
-    for i in [None] * (missed < 0) + list(longer[lengths[longer].argsort(kind="stable")][:1]) if swap and missed else []:
-        more = np.bincount([] if i is None else [i], minlength=len(lengths)).astype(np.int64)
-        tried.append(out + more - fit_lengths(lengths, out, int((lengths * more).sum()) - missed, swap=False))
-    return min(tried, key=lambda x: abs(budget - int((lengths * x).sum())))
+    share = np.array([int(c) * budget // total for c in counts], np.int64)
+    longest = int(lengths[counts > 0].max())
+    window, most = max(FIRST, 4 * longest), max(WINDOW, 4 * longest)
+    best, missed = None, 0
+    while True:
+        held = int((lengths * share).sum())
+        wanted = max(0, window - (budget - held)) if best is not None else 0
+        base = share - np.array([min(int(n), -(-int(n) * wanted // held)) if held else 0 for n in share], np.int64)
+        rest = budget - int((lengths * base).sum())
+        for i in np.argsort(-lengths, kind="stable"):
+            if rest <= window:
+                break
+            if lengths[i]:
+                more = min(int(counts[i] - base[i]), -(-(rest - window) // int(lengths[i])))
+                base[i] += more
+                rest -= more * int(lengths[i])
+        left = counts - base
+        out = base + nearest_subset(lengths, left, rest, min(longest, rest))
+        now = abs(budget - int((lengths * out).sum()))
+        if best is None or now < missed:
+            best, missed = out, now
+        if not missed or not base.any() or window >= most:
+            return best
+        window = min(4 * window, most)
 
 
 def mix(docs: DataFrame, weights: list, seed: int = 0, max_repeat: int = 3, size: str | None = None) -> DataFrame:
