@@ -12,13 +12,15 @@ telling tags and attributes. Scripts, styles, templates, titles and comments are
 Scale: a map over pages; the trees are a few hundred KB.
 
 Defined cases: a null or empty html gives the empty text; character references are decoded, white space inside a block becomes
-one space, blocks are joined by line feeds; unclosed and misnested tags are closed as they must be; repeated rows keep a row
+one space, blocks are joined by line feeds; unclosed and misnested tags are closed as they must be, and what an element that is not
+shown hides ends with the element around it; repeated rows keep a row
 each; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 from html import unescape
@@ -34,7 +36,8 @@ TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$
 ATTR = re.compile(r"\b(id|class|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
 # fixed values: the HTML standard's void elements, elements of raw or unshown text, and elements of inline text
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-HIDDEN = frozenset("script style noscript template title textarea select option svg math iframe object canvas audio video map head".split())
+HIDDEN = frozenset("script style noscript template title textarea select option svg iframe object canvas audio video head".split())
+ENDLESS = frozenset("select object canvas audio video".split())  # hidden only if an end tag follows
 RAW = frozenset("script style textarea title noscript template iframe svg".split())
 IN_HEAD = frozenset("base basefont bgsound link meta html head".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br img input button picture center".split())
@@ -74,10 +77,14 @@ def parse(html: str, mark: str = "") -> Node:
     root = Node("html", None, [])
     stack = [root]  # open elements, inline ones too
     block, run, links = root, None, 0
-    blocks = [root]
+    blocks, block_at = [root], [0]  # open blocks and where in the stack they are
+    inlines: list[Counter[str]] = [Counter()]  # open inline elements of each open block
     end = 0
     skip: str | None = None
-    inner: list[str] = []  # open elements of the option that is skipped
+    inner: list[str] = []  # open elements of the element that is skipped
+    within: Counter[str] = Counter()  # and how many of each name
+    opened: Counter[str] = Counter()  # open elements by name
+    last_end: dict[str, int] = {}
 
     def text(s: str) -> None:
         nonlocal run
@@ -94,10 +101,15 @@ def parse(html: str, mark: str = "") -> Node:
         nonlocal run, links
         while len(stack) > upto:
             item = stack.pop()
+            opened[tag_of(item)] -= 1
             if isinstance(item, Node):
                 blocks.pop()
+                block_at.pop()
+                inlines.pop()
                 run = None
-            elif item == "a":
+                continue
+            inlines[-1][item] -= 1
+            if item == "a":
                 links -= 1
 
     def tag_of(item: Node | str) -> str:
@@ -107,22 +119,32 @@ def parse(html: str, mark: str = "") -> Node:
         stop = re.compile(rf"</{tag}\b[^>]*>", re.I).search(html, end)
         return stop.end() if stop else (len(html) if tag not in ("noscript", "svg", "template") else end)
 
+    def ends_later(tag: str) -> bool:
+        """Whether an end tag of that name follows."""
+        if tag not in last_end:
+            last_end[tag] = html.lower().rfind(f"</{tag}")
+        return last_end[tag] >= end
+
     def omitted(closing: str, tag: str) -> bool:
-        """Whether the tag ends a skipped head or option, whose end tags may be left out."""
+        """Whether the tag ends a skipped element without its own end tag: a head or option, whose end tags may be left out, or
+        one that an element around it ends with."""
         if skip == "head":
             return tag in ("body", "html", "br") if closing else tag not in IN_HEAD
-        if skip != "option":
-            return False
         if not closing:
-            if tag not in VOID and tag != "option":
-                inner.append(tag)
-            elif tag == "option":
+            if skip == "option" and tag == "option":
                 inner.clear()
-            return tag in ("optgroup", "hr")
-        if tag in inner:
-            del inner[len(inner) - 1 - inner[::-1].index(tag) :]
-            return False
-        return tag != "option" and any(tag_of(x) == tag for x in stack[1:])
+                within.clear()
+            elif tag not in VOID:
+                inner.append(tag)
+                within[tag] += 1
+            return skip == "option" and tag in ("optgroup", "hr")
+        if within[tag] > 0:
+            while True:
+                gone = inner.pop()
+                within[gone] -= 1
+                if gone == tag:
+                    return False
+        return tag != skip and opened[tag] > 0
 
     for m in TOKEN.finditer(html):
         if m.start() < end:
@@ -135,25 +157,24 @@ def parse(html: str, mark: str = "") -> Node:
         if not m[2]:
             continue
         closing, tag = m[1], m[2].lower()
-        if skip in ("head", "option") and not closing and tag in RAW:
+        if skip is not None and not closing and tag in RAW:
             end = past(tag)
             continue
         if skip is not None:
+            nested = within[tag] > 0
             if omitted(closing, tag):
                 skip = None
             else:
-                if closing and tag == skip:
+                if closing and tag == skip and not nested:
                     skip = None
                 continue
         if closing:
-            if tag == "br":
+            if tag == "br" or not (inlines[-1] if tag in INLINE else opened)[tag]:
                 continue
-            for i in range(len(stack) - 1, 0, -1):
-                if tag_of(stack[i]) == tag:
-                    close(i)
-                    break
-                if tag in INLINE and isinstance(stack[i], Node):
-                    break
+            at = len(stack) - 1
+            while tag_of(stack[at]) != tag:
+                at -= 1
+            close(at)
             continue
         if tag in ("html", "body") and len(stack) > 1 and tag_of(stack[-1]) != "html":
             continue
@@ -171,17 +192,13 @@ def parse(html: str, mark: str = "") -> Node:
                 run = None
             continue
         if tag in HIDDEN:
-            if not m[3].rstrip().endswith("/"):
+            if not m[3].rstrip().endswith("/") and (tag not in ENDLESS or ends_later(tag)):
                 skip = tag
                 inner.clear()
+                within.clear()
             continue
-        if tag in CLOSES_P:
-            for i in range(len(stack) - 1, 0, -1):
-                if tag_of(stack[i]) == "p":
-                    close(i)
-                    break
-                if isinstance(stack[i], Node):
-                    break
+        if tag in CLOSES_P and blocks[-1].tag == "p":
+            close(block_at[-1])
         if tag in SAME:
             names, stops = SAME[tag]
             for i in range(len(stack) - 1, 0, -1):
@@ -196,6 +213,8 @@ def parse(html: str, mark: str = "") -> Node:
             if tag == "a":
                 links += 1
             stack.append(tag)
+            opened[tag] += 1
+            inlines[-1][tag] += 1
             continue
         attrs = []
         if "=" in m[3]:
@@ -204,7 +223,10 @@ def parse(html: str, mark: str = "") -> Node:
         run = None
         node = Node(tag, blocks[-1], attrs)
         stack.append(node)
+        opened[tag] += 1
         blocks.append(node)
+        block_at.append(len(stack) - 1)
+        inlines.append(Counter())
     if skip in (None, "head") and end < len(html):
         text(html[end:])
     _settle(root, mark)
@@ -262,7 +284,7 @@ def featured(nodes: list[Node]) -> np.ndarray:
     """A row of features for each node of a page (walk order)."""
     x = np.zeros((len(nodes), WIDTH), np.float32)
     whole = max(nodes[0].above[0], 1)
-    inherited: dict[int, tuple] = {}
+    inherited: dict[int, tuple[frozenset, frozenset]] = {}
     for row, n in zip(x, nodes, strict=True):
         size, stops = n.above
         siblings = n.parent.children if n.parent else [n]
@@ -280,10 +302,10 @@ def featured(nodes: list[Node]) -> np.ndarray:
             row[BASIC + tag] = 1
         base = BASIC + len(TAGS)
         row[[base + a for a in n.attrs]] = 1
-        tags, attrs = inherited.get(id(n.parent), ((), ()))
+        tags, attrs = inherited.get(id(n.parent), (frozenset(), frozenset()))
         row[[base + len(TOKENS) + a for a in attrs]] = 1
         row[[WIDTH - 8 + t for t in tags]] = 1
-        inherited[id(n)] = (tags + ((ABOVE[n.tag],) if n.tag in ABOVE else ()), attrs + tuple(n.attrs))
+        inherited[id(n)] = (tags | {ABOVE[n.tag]} if n.tag in ABOVE else tags, attrs.union(n.attrs) if n.attrs else attrs)
     return x
 
 

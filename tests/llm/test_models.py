@@ -160,3 +160,33 @@ def test_long_runs_of_letters_are_read_in_proportion():
     long = restorer.readings("ab" * 100_000 + "ccc")
     assert [len(x) for x in long] in ([200_001], [200_002], [200_003])
     assert time.perf_counter() - began < 60
+
+
+ARTICLE = "<div class=post>" + "".join(f"<p>Sentence {i} of the article tells of rivers, towns and roads, as it was told before.</p>" for i in range(20)) + "</div>"
+
+
+@pytest.mark.parametrize("tag", ["object", "select", "video", "audio", "canvas", "map", "math"])
+def test_what_an_unclosed_element_hides(tag):
+    text = lambda page: " ".join(n.text for n in html_extract.walk(html_extract.parse(page)) if n.text)
+    for page in (f"<body><{tag} id=x>{ARTICLE}</body>", f"<body><div><{tag} id=x></div>{ARTICLE}<{tag}></{tag}></body>", f"<body><{tag}>{ARTICLE}"):
+        assert text(page).count("Sentence") == 20
+    shown = "xyz" if tag in ("map", "math") else ""
+    assert "".join(text(f"<p>the value of <{tag}>xyz</{tag}> is</p>").split()) == f"thevalueof{shown}is"
+    nested = text(f"<p>a <{tag}>b <{tag}>c</{tag}> d</{tag}> e</p>").split()
+    assert nested == (["a", "b", "c", "d", "e"] if shown else ["a", "e"])
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<b>" * 40_000 + "</i>" * 40_000, "<i>" + "<div>" + "<b>" * 40_000 + "</i>" * 40_000, "<i>a" + "<b>" * 40_000 + "</i>" * 40_000 + "x",
+        "<p><b>" * 20_000, "<b>" * 40_000 + "<table></table>" * 10_000, '<div class="post main">' * 3_000 + "x", "<object>" * 40_000, "<select><div>" * 20_000 + "</select>" * 20_000, "word " * 200_000, "<" * 300_000,
+    ],
+)
+def test_time_grows_with_the_page(page):
+    import time
+
+    began = time.perf_counter()
+    nodes = html_extract.walk(html_extract.parse(page))
+    html_extract.featured(nodes)
+    assert time.perf_counter() - began < 12
