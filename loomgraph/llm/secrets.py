@@ -28,17 +28,18 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import slices, to_python, written
+from loomgraph.llm.common import slices, small_enough, to_python, written
 
 KINDS = ("assign", "access", "hex", "generic", "jwt", "pem")
 ASSIGN = re.compile(r"(?ai:(password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")  # runs are maximal, so these are the runs of [0-9a-f]+ that are long enough
 GENERIC = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}")
-JWT = re.compile(r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}")
+JWT = re.compile(r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+")
 PEM = re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----[^-]+-----END [A-Z ]*PRIVATE KEY-----")
 WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 MIN_BITS = 3.5
+BROADCAST_ROWS = 1_000_000  #: values whose verdicts are broadcast; beyond it both sides move by value
 
 
 def entropy(value: str) -> float:
@@ -106,6 +107,9 @@ def scan(docs: DataFrame, max_owners: int = 2, max_repos: int | None = None) ->
     owners = held.groupBy("h", "source").agg(F.count("*").alias("repos"))
     few = (F.col("owners") <= max_owners) & (F.lit(True) if max_repos is None else F.col("repos") <= max_repos)
     verdicts = owners.groupBy("h").agg(F.count("*").alias("owners"), F.sum("repos").alias("repos")).select("h", few.alias("live"))
+    verdicts = written(verdicts, "verdicts")
+    if small_enough(verdicts, BROADCAST_ROWS):
+        verdicts = F.broadcast(verdicts)
     judged = one.select("row", "h", "kind", "start", "end", "base").join(verdicts, "h").filter("base or live")
     order = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind")).cast("int")
     by_row = judged.groupBy("row").agg(

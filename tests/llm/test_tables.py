@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -224,6 +225,32 @@ def test_fit_beyond_the_programme():
         assert (take <= counts).all() and abs((lengths * take).sum() - budget) == min(abs(s - budget) for s in sums)
 
 
+def test_fit_of_long_documents():
+    """Few long documents: the nearest of all sums."""
+    r = np.random.default_rng(7)
+    for _ in range(40):
+        lengths = np.unique(r.integers(70_000, 400_000, r.integers(3, 9)))
+        counts = r.integers(1, 5, len(lengths))
+        budget = int(r.integers(0, (lengths * counts).sum() + 1))
+        take = mixing.fit_lengths(lengths, counts, budget)
+        sums = {0}
+        for length, c in zip(lengths.tolist(), counts.tolist(), strict=True):
+            sums = {s + length * k for s in sums for k in range(c + 1)}
+        assert (take >= 0).all() and (take <= counts).all() and abs((lengths * take).sum() - budget) == min(abs(s - budget) for s in sums)
+    lengths, counts = np.array([206_280, 216_360, 284_032, 286_205]), np.array([2, 3, 1, 1])
+    assert (lengths * mixing.fit_lengths(lengths, counts, 848_035)).sum() - 848_035 == -2755
+
+
+def test_secrets_in_a_text_of_a_million_characters():
+    for text in ("eyJ" * 350_000, "eyJ" + "a" * 1_000_000, "-----BEGIN PRIVATE " * 60_000, "token " * 170_000, "A1b" * 350_000 + " ", "secret" + " " * 1_000_000):
+        began = time.perf_counter()
+        secrets.base_spans(text)
+        secrets.wider_spans(text)
+        assert time.perf_counter() - began < 10
+    jwt = "eyJhbGciOiJI.eyJzdWIiOiIx.SflKxwRJSMeKKF"
+    assert ("jwt", 3, 3 + len(jwt), jwt) in secrets.wider_spans(f"at {jwt} end")
+
+
 def test_secrets_go_by_owners(spark):
     """One owner's value stays in however many repositories; a value of three owners goes."""
     own, shared = "Zx9BcDeF0123abcdEF4567XYZ89abQ", "Qw7BcDeF0123abcdEF4567XYZ89abQ"
