@@ -34,11 +34,11 @@ def steps_of(spark: SparkSession, sf_dir: str, orders: int) -> DataFrame:
 
 
 @lru_cache(64)
-def weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(src, dst, weight): parts in at least two orders together, and in how many."""
+def weighted(spark: SparkSession, sf_dir: str, orders: int = 2) -> DataFrame:
+    """(src, dst, weight): parts in at least that many orders together, and in how many."""
     items = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_partkey").distinct()
     pairs = items.toDF("o", "src").join(items.toDF("o", "dst"), "o").filter("src < dst").groupBy("src", "dst").agg(F.count("*").cast("double").alias("weight"))
-    return written(pairs.filter("weight >= 2"), "weighted")
+    return written(pairs.filter(F.col("weight") >= orders), "weighted")
 
 
 def club(spark: SparkSession) -> DataFrame:

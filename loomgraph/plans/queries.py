@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.functions import vectors
 from loomgraph.functions.storage import written
-from loomgraph.operators import cover, detect, directed, generate, graph, kernels, levels, linegraph, medoids, metrics, significance
+from loomgraph.operators import cover, detect, directed, generate, graph, kernels, leiden, levels, linegraph, medoids, metrics, significance
 from loomgraph.plans import experiment, partition, predict
 from loomgraph.plans.derived import (
     AMPLIFIED, BRANDS, CLIQUES, COMMUTE, GENERALISED, LINE_PARTS, LINES, PARTS, RESISTANCES, SIZES, WALKS, brands_cover, club, club_sql, co_part,
@@ -560,7 +560,9 @@ def significant_modules(spark, d):  # noqa: ANN001, ANN201
 
 @query()
 def cleaned_seeds(spark, d):  # noqa: ANN001, ANN201
-    return significance.cleaned_seeds(co_part(spark, d, 3), sizes_cover(spark, d, 3))
+    """Leiden's communities, as far as they are significant."""
+    e = co_part(spark, d, 2)
+    return significance.cleaned_seeds(e, leiden.leiden(e))
 
 
 @query(sql(2, SIZES, ranks(100), "md AS (SELECT s.c, sum(r) AS p, sum(CASE WHEN ow.src IS NULL THEN r ELSE 0.15 * r END) AS j, count(*) * 1.0 / (SELECT count(*) FROM n) AS f FROM s JOIN rk USING (node) LEFT JOIN ow ON ow.src = s.node GROUP BY 1), lv AS (SELECT x.c, sum(0.85 * r * p) AS o FROM fl JOIN rk ON rk.node = fl.src JOIN s x ON x.node = fl.src JOIN s y ON y.node = fl.dst WHERE x.c <> y.c GROUP BY 1), q AS (SELECT p, coalesce(o, 0) + j * (1 - f) AS q FROM md LEFT JOIN lv USING (c))")

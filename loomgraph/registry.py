@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.operators import detect, graph, kernels, linegraph, medoids, significance
+from loomgraph.operators import detect, egos, graph, kernels, leiden, linegraph, medoids, significance
 
 DISTANCES: dict[str, Callable[[DataFrame, DataFrame], DataFrame]] = {
     "sp": lambda edges, lines: linegraph.shortest_paths(edges, lines).filter("e1 < e2"),
@@ -24,6 +24,9 @@ def _percolation(edges: DataFrame, k: int = 4) -> DataFrame:
 
 
 METHODS: dict[str, Callable[..., DataFrame]] = {
+    "leiden": leiden.leiden,
+    "demon": egos.demon,
+    "egonet_splitter": egos.ego_splitting,
     "louvain": kernels.louvain,
     "infomap": kernels.infomap_partition,
     "gce": lambda edges, **p: kernels.gce(edges, **p).select("c", "node"),
