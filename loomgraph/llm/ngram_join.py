@@ -50,7 +50,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 
-from loomgraph.llm.common import buffers, mix, small_enough, to_python, written
+from loomgraph.llm.common import buffers, lean, mix, small_enough, to_python, written
 from loomgraph.llm.components import components
 from loomgraph.llm.shingles import set_ids, shingle_sets
 
@@ -481,7 +481,7 @@ def _star_links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
         members = F.broadcast(members) if small_enough(pairs, BROADCAST_ROWS) else members
         placed = texts.select("cid", "n", column).join(members, "cid")
         rows = placed.repartition(*STAR_KEYS).sortWithinPartitions(*STAR_KEYS, "side").select(*STAR_KEYS, "cid", "n", column)
-        return rows.mapInArrow(_star(check, column), "u long, b int, v long")
+        return rows.mapInArrow(lean(_star(check, column)), "u long, b int, v long")
 
     counts = pairs.groupBy("u").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).filter("blocks > 1")
     dealt = pairs.join(counts, "u", "left").select("u", F.coalesce(F.pmod(F.xxhash64("v"), "blocks"), F.lit(0)).cast("int").alias("b"), "v")
@@ -506,18 +506,18 @@ def _block_links(buckets: DataFrame, texts: DataFrame, roots: DataFrame, once: b
     dealt = dealt.select(F.least("own", "to").alias("bi"), F.greatest("own", "to").alias("bj"), (F.col("own") > F.col("to")).cast("int").alias("side"), "bucket", "cid", "root")
     sketched = dealt.join(texts.select("cid", "n", _shorter("bits").alias("bits")), "cid")
     near = sketched.repartition(*BLOCK_KEYS).sortWithinPartitions(*BLOCK_KEYS)
-    near = written(near.mapInArrow(_partnered, "bucket long, bi int, bj int, side int, cid long, root long"), "partnered")
+    near = written(near.mapInArrow(lean(_partnered), "bucket long, bi int, bj int, side int, cid long, root long"), "partnered")
     alike = near.groupBy(*BLOCK_KEYS).agg(F.sum(F.xxhash64("cid", "side").cast("decimal(20,0)")).alias("s"), F.bit_xor(F.xxhash64("side", "cid")).alias("x"), F.count("*").alias("c"))
     alike = alike.groupBy("s", "x", "c").agg(F.min(F.struct(*BLOCK_KEYS)).alias("i")).select("i.*")
     placed = texts.select("cid", "n", "bits", "packed").join(hint(near.join(alike, BLOCK_KEYS, "left_semi"), near), "cid")
-    return placed.repartition(*BLOCK_KEYS).sortWithinPartitions(*BLOCK_KEYS).mapInArrow(_forest, "u long, v long")
+    return placed.repartition(*BLOCK_KEYS).sortWithinPartitions(*BLOCK_KEYS).mapInArrow(lean(_forest), "u long, v long")
 
 
 def jaccard_components(docs: DataFrame, hot: int = HOT) -> DataFrame:
     """doc_id, n_shingles, component_id for each row of docs (doc_id, text); hot: see HOT, and the module's text."""
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     texts = to_python(docs.select("text"))
-    first = written(docs.mapInArrow(_sets, _SETS), "sets")
+    first = written(docs.mapInArrow(lean(_sets), _SETS), "sets")
     rows = first.filter("n is not null").select("doc_id", "n", "cid")
     words = first.filter("n is null").groupBy("key").agg(F.sum("cnt").alias("cnt")).filter(F.col("cnt") >= FREQUENT_FROM)
     table = words.orderBy(F.desc("cnt"), "key").limit(FREQUENT).toPandas()
@@ -529,9 +529,9 @@ def jaccard_components(docs: DataFrame, hot: int = HOT) -> DataFrame:
     shared = spark.broadcast((keys, np.minimum(cnt, (1 << 24) - 1), keys[many], (-(-cnt[many] // hot)).astype(np.uint64)))
 
     by = ["key", "salt"] if many.any() else ["key"]
-    post = texts.mapInArrow(_poster(shared), "key long, cid long" + (", salt int" if many.any() else ""))
+    post = texts.mapInArrow(lean(_poster(shared)), "key long, cid long" + (", salt int" if many.any() else ""))
     buckets = post.repartition(*by).sortWithinPartitions(*by, "cid")
-    buckets = written(buckets.mapInArrow(_buckets, "bucket long, salt int, cid long, pivot long"), "buckets")
+    buckets = written(buckets.mapInArrow(lean(_buckets), "bucket long, salt int, cid long, pivot long"), "buckets")
     stars = buckets.filter("cid <> pivot").select(F.col("pivot").alias("u"), F.col("cid").alias("v"))
     if many.any():  # the parts of a salted word hang on its smallest member
         parts = buckets.filter("salt >= 0").select("bucket", "pivot").distinct()
@@ -539,7 +539,7 @@ def jaccard_components(docs: DataFrame, hot: int = HOT) -> DataFrame:
         stars = stars.union(parts.join(least, "bucket").filter("u <> pivot").select("u", F.col("pivot").alias("v")))
     stars = written(stars.distinct(), "stars")
     needed = stars.select(F.col("u").alias("cid")).union(stars.select("v")).distinct()
-    packed = texts.mapInArrow(_packer(spark.broadcast(_filter_of(needed))), "cid long, n int, bits binary, packed binary")
+    packed = texts.mapInArrow(lean(_packer(spark.broadcast(_filter_of(needed)))), "cid long, n int, bits binary, packed binary")
     packed = written(packed.join(needed, "cid", "left_semi").dropDuplicates(["cid"]), "packed")
     links = written(_star_links(stars, packed), "links")
     roots = components(links)

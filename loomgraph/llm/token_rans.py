@@ -40,7 +40,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import BYTE_WORDS, SPACE, buffers, segment_hashes, shared_dir, to_python
+from loomgraph.llm.common import BYTE_WORDS, SPACE, buffers, lean, segment_hashes, shared_dir, to_python
 
 MAGIC = b"LGR1"
 SCALE = 18
@@ -396,7 +396,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, sh
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     docs = to_python(docs.select(F.col("doc_id").cast("long"), "text"))
     ordered = docs.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
-    ordered.mapInArrow(_encoder(tokenizer, end_id, shard_ids), FRAMES).write.parquet(path)
+    ordered.mapInArrow(lean(_encoder(tokenizer, end_id, shard_ids)), FRAMES).write.parquet(path)
 
 
 def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -420,7 +420,7 @@ def read_index(spark: SparkSession, path: str) -> DataFrame:
     before = lambda *by: F.coalesce(F.sum("n_ids").over(Window.partitionBy(*by).orderBy("shard" if by else "part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     parts = sizes.groupBy("part").agg(F.sum("n_ids").alias("n_ids")).select("part", before().alias("p"))
     shards = sizes.select("part", "shard", before("part").alias("s"))
-    docs = frames.mapInArrow(_decode, "part int, shard int, doc_id long, at long, n_tokens long, ids_crc32 long")
+    docs = frames.mapInArrow(lean(_decode), "part int, shard int, doc_id long, at long, n_tokens long, ids_crc32 long")
     placed = docs.join(shards.join(parts, "part"), ["part", "shard"])
     return placed.select("doc_id", (F.col("p") + F.col("s") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
 

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from loomgraph.llm.common import slices, to_python
+from loomgraph.llm.common import lean, slices, to_python
 from loomgraph.llm.lang_id import held_out, letters
 
 THRESHOLD = 0.3
@@ -69,7 +69,7 @@ def _count_trigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 def fit_characters(docs: DataFrame) -> np.ndarray:
     """Log probabilities of a symbol after two others, over all texts."""
-    rows = to_python(docs.select("text")).mapInArrow(_count_trigrams, "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect()
+    rows = to_python(docs.select("text")).mapInArrow(lean(_count_trigrams), "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect()
     counts = np.zeros(ALPHABET**3)
     for r in rows:
         counts[r["gram"]] = r["n"]
@@ -236,7 +236,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, least: int = 4
                     held, totals = {}, [0, 0]
         yield out()
 
-    counts = to_python(rows).mapInArrow(count, "f string, clean long, toxic long").groupBy("f").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    counts = to_python(rows).mapInArrow(lean(count), "f string, clean long, toxic long").groupBy("f").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     frame = counts.filter(f"f = '' or (toxic >= {least} and toxic * 1.0 > clean)").toPandas().set_index("f")
     clean, toxic = (int(frame.loc["", c]) if "" in frame.index else 0 for c in ("clean", "toxic"))
     prior = toxic / (clean + toxic) if clean + toxic else 0.0
@@ -261,7 +261,7 @@ def _evidence(rows: DataFrame, scorer: Scorer) -> tuple[np.ndarray, np.ndarray]:
             found = [shared.value.evidence(t) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([f.tolist() for f in found], pa.list_(pa.float64())), batch.column("y")], ["x", "y"])
 
-    table = rows.mapInArrow(run, "x array<double>, y int").groupBy("x", "y").count().toPandas()
+    table = rows.mapInArrow(lean(run), "x array<double>, y int").groupBy("x", "y").count().toPandas()
     reps = table["count"].to_numpy()
     return np.repeat(np.stack(table["x"].to_list()), reps, 0), np.repeat(table["y"].to_numpy(float), reps)
 
@@ -276,7 +276,7 @@ def scored(docs: DataFrame, scorer: Scorer) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, out], [*batch.schema.names, "score"])
 
     docs = to_python(docs.drop("score"))
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("score", DoubleType())]))
+    return docs.mapInArrow(lean(run), StructType([*docs.schema.fields, StructField("score", DoubleType())]))
 
 
 def reject(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
