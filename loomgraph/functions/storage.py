@@ -54,6 +54,13 @@ def hinted(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """df by keys over a stated number of partitions, for groups that cost far more than their bytes say: adaptive execution would put
+    many of them in one task."""
+    spark = df.sparkSession
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), *keys)
+
+
 def numbered(df: DataFrame, *order: str, name: str = "id", first: int = 1) -> DataFrame:
     """df with dense numbers in the given order, without a single-task window: places in sorted partitions plus offsets."""
     at = F.monotonically_increasing_id()

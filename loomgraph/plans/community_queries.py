@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.functions.storage import written
-from loomgraph.operators import cleanup, cover, detect, egos, graph, metrics, modules, paths, significance
+from loomgraph.operators import cleanup, cover, detect, draws, egos, graph, metrics, modules, paths, significance
 from loomgraph.operators import leiden as leidens
 from loomgraph.plans.derived import BRANDS, SIZES, brands_cover, co_part, inner, ranks, sizes_cover, sql, weighted
 from loomgraph.plans.queries import query, rounded
@@ -172,3 +172,12 @@ def neighborhood_function(spark, d):  # noqa: ANN001, ANN201
 @query()
 def path_estimates(spark, d):  # noqa: ANN001, ANN201
     return rounded(paths.path_estimates(paths.neighborhood_function(co_part(spark, d, 1))))
+
+
+@query(sql(1, "dd AS (SELECT degree AS value, count(*) AS weight FROM k GROUP BY 1), cu AS (SELECT value, sum(weight) OVER (ORDER BY value) AS upto, weight, sum(weight) OVER () AS total FROM dd)")
+       + "SELECT p_partkey AS node, value AS degree FROM (SELECT p_partkey, ((p_partkey * 7919) % 10007 + 0.5) / 10007 AS u FROM part) JOIN cu ON u >= (upto - weight) / total AND u < upto / total")
+def drawn_degrees(spark, d):  # noqa: ANN001, ANN201
+    """A degree for each part, drawn from the distribution of degrees."""
+    degrees = graph.degrees(co_part(spark, d, 1)).groupBy(F.col("degree").alias("value")).agg(F.count("*").alias("weight"))
+    parts = spark.read.parquet(f"{d}/part.parquet").select(F.col("p_partkey").alias("node"), ((F.col("p_partkey") * 7919 % 10007 + 0.5) / 10007).alias("u"))
+    return draws.drawn(parts, degrees).select("node", F.col("value").alias("degree"))
