@@ -13,7 +13,7 @@ from loomgraph.functions.storage import written
 from loomgraph.operators import cleanup, cover, detect, draws, egos, graph, metrics, modules, paths, significance
 from loomgraph.operators import leiden as leidens
 from loomgraph.plans.derived import BRANDS, SIZES, brands_cover, co_part, inner, ranks, sizes_cover, sql, weighted
-from loomgraph.plans.queries import query, rounded
+from loomgraph.plans.queries import ORACLES, query, rounded
 
 # ---- relational operators over all orders ----
 
@@ -148,6 +148,9 @@ def persona_graph(spark, d):  # noqa: ANN001, ANN201
     return egos.persona_graph(co_part(spark, d, 2))
 
 
+ORACLES["ego_modules"] = sql(2, _PERSONAS, "bg AS (SELECT ps.* FROM ps JOIN k USING (node) WHERE degree > 10)") + "SELECT node AS ego, part, neighbor AS node FROM bg UNION ALL SELECT DISTINCT node, part, node FROM bg"
+
+
 @query()
 def ego_splitting(spark, d):  # noqa: ANN001, ANN201
     return egos.ego_splitting(co_part(spark, d, 2))
