@@ -99,7 +99,7 @@ def commute(edges: DataFrame, lines: DataFrame, squared: bool = False, method: s
 def amplified_commute(edges: DataFrame, lines: DataFrame, squared: bool = False, method: str = "svd", rcond: float | None = None, link_term: str = "adjacent") -> DataFrame:
     """(e1, e2, d), e1 < e2 in one component: root of R - 1/k1 - 1/k2 + 2 a / (k1 k2); link_term="always" takes a as 1.
 
-    Values down to -1e-12 count as 0; lower ones, and links without a neighbor, have null.
+    Values within 1e-12 of 0 count as 0; lower ones, and links without a neighbor, have null.
     """
     k = line_degrees(edges, lines)
     r = resistances(edges, lines, method, rcond).join(k.toDF("e1", "k1"), "e1").join(k.toDF("e2", "k2"), "e2")
@@ -108,7 +108,7 @@ def amplified_commute(edges: DataFrame, lines: DataFrame, squared: bool = False,
         r = r.join(lines.withColumn("a", F.lit(1.0)), ["e1", "e2"], "left")
         a = F.coalesce("a", F.lit(0.0))
     d2 = F.col("r") - 1 / F.col("k1") - 1 / F.col("k2") + 2 * a / (F.col("k1") * F.col("k2"))
-    d2 = F.when(d2 >= 0, d2).when(d2 >= -1e-12, 0.0)
+    d2 = F.when(F.abs(d2) <= 1e-12, 0.0).when(d2 > 0, d2)
     return r.select("e1", "e2", (d2 if squared else F.sqrt(d2)).alias("d"))
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.functions.storage import written
 from loomgraph.operators import graph, linegraph
+from loomgraph.operators.medoids import DIGITS
 from loomgraph.plans import known
 
 
@@ -41,6 +42,15 @@ def weighted(spark: SparkSession, sf_dir: str, orders: int = 2) -> DataFrame:
     return written(pairs.filter(F.col("weight") >= orders), "weighted")
 
 
+@lru_cache(64)
+def kin_part(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(edge_id, src, dst): parts of one brand and one half of the sizes that stand together in any order: a graph of many components,
+    with more links the more orders there are."""
+    part = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", F.concat("p_brand", F.when(F.col("p_size") > 25, "+").otherwise("-")).alias("kin"))
+    e = co_part(spark, sf_dir, 1).select("src", "dst").join(part.toDF("src", "kin"), "src").join(part.toDF("dst", "kin"), ["dst", "kin"])
+    return graph.with_ids(e.select("src", "dst"))
+
+
 def club(spark: SparkSession) -> DataFrame:
     """(edge_id, src, dst): the karate club, small enough for every distance and for the exact search."""
     return graph.with_ids(spark.createDataFrame(known.links(known.KARATE), "src long, dst long"))
@@ -66,6 +76,12 @@ def sql(orders: int = 2, *more: str) -> str:
 w AS (SELECT a.p AS src, b.p AS dst, CAST(count(*) AS DOUBLE) AS weight FROM li a JOIN li b ON a.o = b.o AND a.p < b.p GROUP BY 1, 2 HAVING count(*) >= {orders})""", more)
 
 
+def kin_sql(*more: str) -> str:
+    """The same tables of the links within a brand and one half of the sizes."""
+    return _tables("""li AS (SELECT DISTINCT l_orderkey AS o, l_partkey AS p, p_brand AS brand, p_size > 25 AS half FROM lineitem JOIN part ON p_partkey = l_partkey),
+w AS (SELECT a.p AS src, b.p AS dst, CAST(count(*) AS DOUBLE) AS weight FROM li a JOIN li b ON a.o = b.o AND a.brand = b.brand AND a.half = b.half AND a.p < b.p GROUP BY 1, 2)""", more)
+
+
 def club_sql(*more: str) -> str:
     """The same tables of the links of the karate club."""
     values = ", ".join(f"({a}, {b}, 1.0)" for a, b in known.links(known.KARATE))
@@ -118,12 +134,29 @@ t AS (SELECT x.e AS e1, y.e AS e2, sum(x.k * x.s * y.s) AS d FROM sh x JOIN sh y
 gd AS (SELECT x.edge_id AS e1, y.edge_id AS e2, coalesce(t.d, 0) AS d FROM e x JOIN e y ON x.edge_id < y.edge_id LEFT JOIN t ON t.e1 = x.edge_id AND t.e2 = y.edge_id)"""
 COMMUTE = "cm AS (SELECT e1, e2, sqrt(greatest(2.0 * (SELECT count(*) FROM l) * r, 0)) AS d FROM rs)"
 AMPLIFIED = """q2 AS (SELECT rs.e1, rs.e2, r - 1 / x.g - 1 / y.g + CASE WHEN l.e1 IS NULL THEN 0 ELSE 2 / (x.g * y.g) END AS d2
-FROM rs JOIN lk x ON x.u = rs.e1 JOIN lk y ON y.u = rs.e2 LEFT JOIN l ON l.e1 = rs.e1 AND l.e2 = rs.e2), am AS (SELECT e1, e2, CASE WHEN d2 >= -1e-12 THEN sqrt(greatest(d2, 0)) END AS d FROM q2)"""
+FROM rs JOIN lk x ON x.u = rs.e1 JOIN lk y ON y.u = rs.e2 LEFT JOIN l ON l.e1 = rs.e1 AND l.e2 = rs.e2), am AS (SELECT e1, e2, CASE WHEN abs(d2) <= 1e-12 THEN 0 WHEN d2 > 0 THEN sqrt(d2) END AS d FROM q2)"""
+
+
+def digits(x: str) -> str:
+    """SQL of a number in the significant digits in which distances are compared."""
+    unit = f"pow(10, {DIGITS - 1} - floor(log10({x})))"
+    return f"CASE WHEN {x} = 0 THEN 0 ELSE round({x} * {unit}) / {unit} END"
+
+
+def two_medoids_each(distance: str) -> str:
+    """SQL tables as of two_medoids for every component pn of the graph; a component of one link is a cluster."""
+    return f"""ep AS (SELECT edge_id, part FROM e JOIN pn ON pn.node = e.src),
+dd AS (SELECT ep.part, x, y, {digits('d')} AS d FROM (SELECT e1 AS x, e2 AS y, d FROM {distance} UNION ALL SELECT e2, e1, d FROM {distance} UNION ALL SELECT edge_id, edge_id, 0.0 FROM e) JOIN ep ON ep.edge_id = x),
+co AS (SELECT p.part, p.y AS m1, q.y AS m2, sum(least(p.d, q.d)) AS cost FROM dd p JOIN dd q ON p.part = q.part AND p.x = q.x AND p.y < q.y GROUP BY 1, 2, 3),
+md AS (SELECT unnest(b) AS m FROM (SELECT first([m1, m2] ORDER BY {digits('cost')}, m1, m2) AS b FROM co GROUP BY part) UNION ALL SELECT min(edge_id) FROM ep GROUP BY part HAVING count(*) = 1),
+a AS (SELECT x AS edge_id, first(y ORDER BY d, y) AS cluster_id FROM dd JOIN md ON md.m = dd.y GROUP BY x),
+rk AS (SELECT cluster_id, row_number() OVER (ORDER BY cluster_id) AS c FROM (SELECT DISTINCT cluster_id FROM a)),
+mb AS (SELECT node, c, count(*) AS n_edges FROM inc JOIN a USING (edge_id) JOIN rk USING (cluster_id) GROUP BY 1, 2),
+bl AS (SELECT node, c, n_edges, n_edges / sum(n_edges) OVER (PARTITION BY node) AS belonging FROM mb)"""
 
 
 def two_medoids(distance: str) -> str:
-    """SQL tables a (edge_id, cluster_id) and bl (node, c, n_edges, belonging): all pairs of medoids tried, numbers in 12 digits."""
-    digits = lambda x: f"CASE WHEN {x} = 0 THEN 0 ELSE round({x} * pow(10, 11 - floor(log10({x})))) / pow(10, 11 - floor(log10({x}))) END"
+    """SQL tables a (edge_id, cluster_id) and bl (node, c, n_edges, belonging): all pairs of medoids tried, numbers in DIGITS digits."""
     return f"""dd AS (SELECT x, y, {digits('d')} AS d FROM (SELECT e1 AS x, e2 AS y, d FROM {distance} UNION ALL SELECT e2, e1, d FROM {distance} UNION ALL SELECT edge_id, edge_id, 0.0 FROM e)),
 co AS (SELECT p.y AS m1, q.y AS m2, sum(least(p.d, q.d)) AS cost FROM dd p JOIN dd q ON p.x = q.x AND p.y < q.y GROUP BY 1, 2),
 md AS (SELECT m1, m2 FROM co ORDER BY {digits('cost')}, m1, m2 LIMIT 1),

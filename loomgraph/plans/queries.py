@@ -5,6 +5,8 @@ Doubles are rounded on both sides to six places, or nine where values are small.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,7 +16,7 @@ from loomgraph.operators import cover, detect, directed, generate, graph, kernel
 from loomgraph.plans import experiment, partition, predict
 from loomgraph.plans.derived import (
     AMPLIFIED, BRANDS, CLIQUES, COMMUTE, GENERALISED, LINE_PARTS, LINES, PARTS, RESISTANCES, SIZES, WALKS, brands_cover, club, club_sql, co_part,
-    inner, lines_of, ranks, reach, sizes_cover, sql, steps_of, two_medoids, weighted,
+    inner, kin_part, kin_sql, lines_of, ranks, reach, sizes_cover, sql, steps_of, two_medoids, two_medoids_each, weighted,
 )
 from loomgraph.streaming import ingest
 
@@ -199,14 +201,45 @@ def threshold_cover(spark, d):  # noqa: ANN001, ANN201
     return partition.fixed_medoids(co_part(spark, d, 2), 5, 0.4).cover
 
 
-@query()
+_KIN = (LINES, LINE_PARTS, PARTS, RESISTANCES, AMPLIFIED, two_medoids_each("am"))
+
+
+@lru_cache(64)
+def _kin(spark, d):  # noqa: ANN001, ANN202
+    """The core method on each component of the links within a brand and half of the sizes: ACM, exact p-median."""
+    return partition.component_partition(kin_part(spark, d), 2, "acm", "pmp", 0.3)
+
+
+@query(kin_sql(*_KIN) + "SELECT c, node FROM bl WHERE belonging >= 0.3")
 def link_partition_exact(spark, d):  # noqa: ANN001, ANN201
-    return partition.link_partition(co_part(spark, d, 3), 3, "acm", "pmp", 0.3).cover
+    return _kin(spark, d).cover
+
+
+@query(kin_sql(*_KIN) + "SELECT edge_id, cluster_id, part AS component, round((SELECT sum(least_) FROM (SELECT min(dd.d) AS least_ FROM dd JOIN md ON md.m = dd.y WHERE dd.part = ep.part GROUP BY dd.x)), 6) AS cost, CAST(0 AS DOUBLE) AS gap FROM a JOIN ep USING (edge_id)")
+def link_clusters(spark, d):  # noqa: ANN001, ANN201
+    """Clusters of links with the cost of their component's medoids, and how far it may be from the optimum."""
+    return rounded(_kin(spark, d).clusters)
+
+
+@query(kin_sql(*_KIN) + "SELECT node, c, n_edges, round(belonging, 6) AS belonging FROM bl")
+def link_members(spark, d):  # noqa: ANN001, ANN201
+    return rounded(_kin(spark, d).members)
+
+
+@query(kin_sql(LINES, LINE_PARTS, RESISTANCES, AMPLIFIED) + "SELECT e1, e2, round(d, 6) AS d FROM am")
+def kin_amplified_commute(spark, d):  # noqa: ANN001, ANN201
+    e = kin_part(spark, d)
+    return rounded(linegraph.amplified_commute(e, linegraph.line_graph(e)))
 
 
 @query()
 def link_partition_clarans(spark, d):  # noqa: ANN001, ANN201
-    return partition.link_partition(co_part(spark, d, 3), 3, "cm", "kmd", 0.3).cover
+    return partition.component_partition(kin_part(spark, d), 3, "cm", "kmd", 0.3).cover
+
+
+@query()
+def link_partition_pam(spark, d):  # noqa: ANN001, ANN201
+    return partition.component_partition(kin_part(spark, d), 3, "acm", "pam", 0.3).cover
 
 
 @query()
@@ -650,5 +683,5 @@ def event_degrees(spark, d):  # noqa: ANN001, ANN201
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:
-    """The cover of the fixed-medoid link partition."""
-    return written(partition.fixed_medoids(co_part(spark, d, 2), 5, 0.4).cover, "flagship")
+    """The cover of the core method: links of each component around two medoids, ACM distance, exact p-median."""
+    return written(_kin(spark, d).cover, "flagship")

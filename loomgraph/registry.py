@@ -23,7 +23,16 @@ def _percolation(edges: DataFrame, k: int = 4) -> DataFrame:
     return detect.percolation(detect.clique_ids(kernels.cliques(edges, k)), k)
 
 
+def _link_partition(edges: DataFrame, k: int = 2, **options) -> DataFrame:  # noqa: ANN003
+    """The core method over the whole graph, or with components=True over each of its components."""
+    from loomgraph.plans import partition
+
+    run = partition.component_partition if options.pop("components", False) else partition.link_partition
+    return run(edges, k, **options).cover
+
+
 METHODS: dict[str, Callable[..., DataFrame]] = {
+    "link_partition": _link_partition,
     "leiden": leiden.leiden,
     "demon": egos.demon,
     "egonet_splitter": egos.ego_splitting,
