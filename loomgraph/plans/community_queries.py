@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.functions.storage import written
-from loomgraph.operators import cleanup, cover, detect, draws, egos, graph, metrics, modules, paths, significance
+from loomgraph.operators import cleanup, cover, detect, draws, egos, graph, metrics, modules, paths, sided, significance
 from loomgraph.operators import leiden as leidens
 from loomgraph.plans.derived import BRANDS, SIZES, brands_cover, co_part, inner, ranks, sizes_cover, sql, weighted
 from loomgraph.plans.queries import ORACLES, query, rounded
@@ -136,6 +136,34 @@ def fused_modules(spark, d):  # noqa: ANN001, ANN201
     return significance.fuse(e, written(leidens.leiden(e), "communities"))
 
 
+# the same for directed links w with weights: a score a side by counts, then the gamma tail of weights, then both sides together
+_SIDES = """, hl AS (SELECT src AS node, dst AS other, 'o' AS s, weight FROM w UNION ALL SELECT dst, src, 'i', weight FROM w),
+hs AS (SELECT node, s, count(*) AS k, avg(weight) AS mean FROM hl GROUP BY 1, 2), sd AS (SELECT * FROM (VALUES ('o', 'i'), ('i', 'o')) t(s, os)),
+cs AS (SELECT s.c, hs.s, sum(k) AS tot FROM s JOIN hs USING (node) GROUP BY 1, 2), cn AS (SELECT c, (SELECT count(*) FROM n) - count(*) AS outside FROM s GROUP BY 1),
+il AS (SELECT x.c, count(*) AS kin FROM w JOIN s x ON x.node = w.src JOIN s y ON y.node = w.dst AND y.c = x.c GROUP BY 1),
+ou AS (SELECT y.c, hl.node, hl.s, count(*) AS x, sum(hl.weight / hs.mean) AS heavy FROM hl JOIN hs USING (node, s) JOIN s y ON y.node = hl.other LEFT JOIN s z ON z.node = hl.node AND z.c = y.c WHERE z.c IS NULL GROUP BY 1, 2, 3),
+os AS (SELECT t.c, t.node, sd.s, coalesce(hs.k, 0) AS k, coalesce(ou.x, 0) AS x, coalesce(ou.heavy, 0) AS heavy, CAST(coalesce(p.tot, 0) - coalesce(kin, 0) AS BIGINT) AS free, CAST((SELECT count(*) FROM w) - coalesce(q.tot, 0) AS BIGINT) AS total
+FROM (SELECT DISTINCT c, node FROM ou) t CROSS JOIN sd LEFT JOIN ou ON ou.c = t.c AND ou.node = t.node AND ou.s = sd.s LEFT JOIN hs ON hs.node = t.node AND hs.s = sd.s
+LEFT JOIN cs p ON p.c = t.c AND p.s = sd.os LEFT JOIN cs q ON q.c = t.c AND q.s = sd.s LEFT JOIN il ON il.c = t.c),
+ob AS (SELECT *, lgamma(least(free, total) + 1) + lgamma(total - least(free, total) + 1) + lgamma(k + 1) + lgamma(total - k + 1) - lgamma(total + 1) AS base FROM os),
+op AS (SELECT *, list_transform(range(x, least(k, free) + 1), lambda i: CASE WHEN total - least(free, total) - k + i < 0 THEN 0 ELSE exp(base - lgamma(i + 1) - lgamma(least(free, total) - i + 1) - lgamma(k - i + 1) - lgamma(total - least(free, total) - k + i + 1)) END) AS p FROM ob),
+ot AS (SELECT *, greatest(least(coalesce(list_sum(p[2:]), 0) + 0.5 * coalesce(p[1], 0), 1), 1e-100) AS a, CASE WHEN x = 0 THEN 1 ELSE list_sum(list_transform(range(0, x), lambda i: exp(i * ln(heavy) - heavy - lgamma(i + 1)))) END AS h FROM op),
+oz AS (SELECT *, a * h * (1 - ln(a * h)) AS z FROM ot)"""
+
+
+@query(sql(2, SIZES).rstrip() + _SIDES + " SELECT x.c, x.node, x.k AS k_out, x.x AS x_out, x.free AS free_out, x.total AS total_out, y.k AS k_in, y.x AS x_in, y.free AS free_in, y.total AS total_in, CAST(outside AS BIGINT) AS outside, round(x.z * y.z * (1 - ln(x.z * y.z)), 6) AS score FROM oz x JOIN oz y ON x.s = 'o' AND y.s = 'i' AND y.c = x.c AND y.node = x.node JOIN cn ON cn.c = x.c")
+def directed_border_scores(spark, d):  # noqa: ANN001, ANN201
+    """border_scores with links from the smaller to the larger part, weighted by common orders."""
+    model = sided.Sided(weighted(spark, d), directed=True, weighted=True)
+    return rounded(sided.border_scores(model, sizes_cover(spark, d).select(F.lit(0).cast("long").alias("g"), "c", "node")).drop("g"))
+
+
+@query()
+def directed_modules(spark, d):  # noqa: ANN001, ANN201
+    """Significant modules of the weighted links from the smaller to the larger part."""
+    return rounded(sided.significant(weighted(spark, d), True, True).select("c", "node", "score"), 9)
+
+
 # ---- ego networks, distances ----
 
 _PERSONAS = """eg AS (SELECT x.node AS ego, x.other AS i, y.other AS j FROM b x JOIN b y ON y.node = x.node JOIN b z ON z.node = x.other AND z.other = y.other),

@@ -51,6 +51,11 @@ def kin_part(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.with_ids(e.select("src", "dst"))
 
 
+@lru_cache(64)
+def kin_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return written(linegraph.line_graph(kin_part(spark, sf_dir)), "lines")
+
+
 def club(spark: SparkSession) -> DataFrame:
     """(edge_id, src, dst): the karate club, small enough for every distance and for the exact search."""
     return graph.with_ids(spark.createDataFrame(known.links(known.KARATE), "src long, dst long"))

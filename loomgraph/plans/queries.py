@@ -16,7 +16,7 @@ from loomgraph.operators import cover, detect, directed, generate, graph, kernel
 from loomgraph.plans import experiment, partition, predict
 from loomgraph.plans.derived import (
     AMPLIFIED, BRANDS, CLIQUES, COMMUTE, GENERALISED, LINE_PARTS, LINES, PARTS, RESISTANCES, SIZES, WALKS, brands_cover, club, club_sql, co_part,
-    inner, kin_part, kin_sql, lines_of, ranks, reach, sizes_cover, sql, steps_of, two_medoids, two_medoids_each, weighted,
+    inner, kin_lines, kin_part, kin_sql, lines_of, ranks, reach, sizes_cover, sql, steps_of, two_medoids, two_medoids_each, weighted,
 )
 from loomgraph.streaming import ingest
 
@@ -101,9 +101,10 @@ def line_graph_degree(spark, d):  # noqa: ANN001, ANN201
     return linegraph.line_degrees(co_part(spark, d, 2), lines_of(spark, d, 2))
 
 
-@query(sql(3, LINES, reach()) + "SELECT x.edge_id AS e1, y.edge_id AS e2, CAST(coalesce(d, 0) AS DOUBLE) AS d FROM e x CROSS JOIN e y LEFT JOIN sp ON sp.e1 = x.edge_id AND sp.e2 = y.edge_id")
+@query(kin_sql(LINES, reach()) + "SELECT e1, e2, CAST(d AS DOUBLE) AS d FROM sp")
 def distance_shortest_path(spark, d):  # noqa: ANN001, ANN201
-    return linegraph.shortest_paths(co_part(spark, d, 3), lines_of(spark, d, 3))
+    """Between links that reach each other; all other pairs have the distance that unreachable= says."""
+    return linegraph.shortest_paths(kin_part(spark, d), kin_lines(spark, d), unreachable="drop")
 
 
 @query(sql(3, LINES, reach(), WALKS, GENERALISED) + "SELECT e1, e2, round(d, 9) AS d FROM gd")
@@ -111,20 +112,20 @@ def distance_generalised_degree(spark, d):  # noqa: ANN001, ANN201
     return rounded(linegraph.generalised_degree(co_part(spark, d, 3), lines_of(spark, d, 3)), 9)
 
 
-@query(sql(3, LINES, LINE_PARTS, RESISTANCES, COMMUTE) + "SELECT e1, e2, round(d, 6) AS d FROM cm")
+@query(kin_sql(LINES, LINE_PARTS, RESISTANCES, COMMUTE) + "SELECT e1, e2, round(d, 6) AS d FROM cm")
 def distance_commute(spark, d):  # noqa: ANN001, ANN201
-    return rounded(linegraph.commute(co_part(spark, d, 3), lines_of(spark, d, 3)))
+    return rounded(linegraph.commute(kin_part(spark, d), kin_lines(spark, d)))
 
 
-@query(sql(3, LINES, LINE_PARTS, RESISTANCES, AMPLIFIED) + "SELECT e1, e2, round(d, 6) AS d FROM am")
+@query(kin_sql(LINES, LINE_PARTS, RESISTANCES, AMPLIFIED) + "SELECT e1, e2, round(d, 6) AS d FROM am")
 def distance_amplified_commute(spark, d):  # noqa: ANN001, ANN201
-    return rounded(linegraph.amplified_commute(co_part(spark, d, 3), lines_of(spark, d, 3)))
+    return rounded(linegraph.amplified_commute(kin_part(spark, d), kin_lines(spark, d)))
 
 
-@query(sql(3, LINES, "ll AS (SELECT e1 AS u, e2 AS v FROM l UNION ALL SELECT e2, e1 FROM l), lc AS (SELECT edge_id AS x, edge_id AS v FROM e UNION SELECT lc.x, ll.v FROM lc JOIN ll ON ll.u = lc.v)") + "SELECT component, CAST(count(*) - 1 AS DOUBLE) AS total FROM (SELECT x, min(v) AS component FROM lc GROUP BY 1) GROUP BY 1 HAVING count(*) > 1")
+@query(kin_sql(LINES, "ll AS (SELECT e1 AS u, e2 AS v FROM l UNION ALL SELECT e2, e1 FROM l), lc AS (SELECT edge_id AS x, edge_id AS v FROM e UNION SELECT lc.x, ll.v FROM lc JOIN ll ON ll.u = lc.v)") + "SELECT component, CAST(count(*) - 1 AS DOUBLE) AS total FROM (SELECT x, min(v) AS component FROM lc GROUP BY 1) GROUP BY 1 HAVING count(*) > 1")
 def resistance_totals(spark, d):  # noqa: ANN001, ANN201
     """By Foster's theorem the resistances of a connected graph's links sum to its nodes less one."""
-    e, lines = co_part(spark, d, 3), lines_of(spark, d, 3)
+    e, lines = kin_part(spark, d), kin_lines(spark, d)
     comp = graph.components(lines.toDF("src", "dst"))
     r = linegraph.resistances(e, lines, method="gamma").join(lines, ["e1", "e2"])
     return rounded(r.join(comp.withColumnRenamed("node", "e1"), "e1").groupBy("component").agg(F.sum("r").alias("total")))
@@ -226,12 +227,6 @@ def link_members(spark, d):  # noqa: ANN001, ANN201
     return rounded(_kin(spark, d).members)
 
 
-@query(kin_sql(LINES, LINE_PARTS, RESISTANCES, AMPLIFIED) + "SELECT e1, e2, round(d, 6) AS d FROM am")
-def kin_amplified_commute(spark, d):  # noqa: ANN001, ANN201
-    e = kin_part(spark, d)
-    return rounded(linegraph.amplified_commute(e, linegraph.line_graph(e)))
-
-
 @query()
 def link_partition_clarans(spark, d):  # noqa: ANN001, ANN201
     return partition.component_partition(kin_part(spark, d), 3, "cm", "kmd", 0.3).cover
@@ -661,9 +656,9 @@ def label_accuracy(spark, d):  # noqa: ANN001, ANN201
 
 @query()
 def parameter_grid(spark, d):  # noqa: ANN001, ANN201
-    e = co_part(spark, d, 3).select("src", "dst")
-    runs = [("kclique", {"k": 3}), ("components", {}), *(("louvain", p) for p in experiment.grid(t=[0.5, 1.0]))]
-    return rounded(experiment.run_grid(e, sizes_cover(spark, d, 3), runs).filter("metric <> 'seconds'"))
+    e = kin_part(spark, d).select("src", "dst")
+    runs = [("link_partition", {"k": 2, "components": True}), ("kclique", {"k": 3}), ("components", {}), *(("louvain", p) for p in experiment.grid(t=[0.5, 1.0]))]
+    return rounded(experiment.run_grid(e, sizes_cover(spark, d, 1), runs).filter("metric <> 'seconds'"))
 
 
 @query()

@@ -13,7 +13,7 @@ from loomgraph.streaming import ingest
 
 DATA = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no tables here")
-SOME = ("edges_canonical", "degree", "line_graph", "components", "split_communities", "nearest_medoid", "membership_counts", "threshold_cover", "module_network", "community_scores", "cover_quality", "onmi_lfk", "omega", "f1_scores", "clustering_coefficient", "map_equation", "median_polynomial", "label_features", "event_degrees", "club_generalised_degree", "club_amplified_commute", "club_clusters", "club_cover", "clique_percolation", "label_propagation", "suppressed_cover")
+SOME = ("edges_canonical", "degree", "line_graph", "components", "split_communities", "nearest_medoid", "membership_counts", "threshold_cover", "module_network", "community_scores", "cover_quality", "onmi_lfk", "omega", "f1_scores", "clustering_coefficient", "map_equation", "median_polynomial", "label_features", "event_degrees", "club_generalised_degree", "club_amplified_commute", "club_clusters", "club_cover", "clique_percolation", "label_propagation", "suppressed_cover", "link_clusters", "link_members", "link_partition_exact", "distance_shortest_path", "directed_border_scores")
 
 
 @pytest.fixture(scope="module")
