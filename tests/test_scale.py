@@ -4,7 +4,8 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from loomgraph.functions import linalg
-from loomgraph.operators import graph, linegraph
+from loomgraph.operators import graph, linegraph, medoids
+from loomgraph.plans import partition
 
 
 def rings(spark, *sizes):  # noqa: ANN001, ANN201
@@ -41,3 +42,25 @@ def test_hops_are_those_of_a_search(spark):  # noqa: ANN001
     a[2300, 2301] = a[2301, 2300] = False
     d = linalg.hops(a)
     assert d[0, 2300] == 2300 and d[0, 2301] == -1 and d[2400, 2450] == 50
+
+
+def test_two_medoids_are_always_proved():
+    r = np.random.default_rng(3)
+    x = r.random((260, 2))
+    d = np.hypot(*(x[:, None] - x[None]).transpose(2, 0, 1))
+    found, cost, gap = medoids.exact(d, 2, nodes=1)
+    rounded = medoids.rounded(d)
+    want = min(float(np.minimum(rounded[:, [i]], rounded[:, i + 1 :]).sum(0).min()) for i in range(259))
+    assert gap == 0.0 and abs(cost - want) < 1e-6 and found == sorted(found)
+
+
+def test_clusters_of_components_without_a_table_of_pairs(spark):  # noqa: ANN001
+    e = rings(spark, 8, 5, 12)
+    lines = linegraph.line_graph(e)
+    for distance, f in (("acm", linegraph.amplified_commute), ("cm", linegraph.commute)):
+        measure = linegraph.block_measure(f, lines)
+        for algorithm in ("pmp", "pam", "kmd"):
+            got = medoids.cluster_blocks(e, lines, measure, 3, algorithm)
+            want = medoids.cluster_components(e, f(e, lines), 3, algorithm)
+            assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())), (distance, algorithm)
+    assert partition.component_partition(e, 2).clusters.count() == 28
