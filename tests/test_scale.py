@@ -64,3 +64,29 @@ def test_clusters_of_components_without_a_table_of_pairs(spark):  # noqa: ANN001
             want = medoids.cluster_components(e, f(e, lines), 3, algorithm)
             assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())), (distance, algorithm)
     assert partition.component_partition(e, 2).clusters.count() == 28
+
+
+def test_pairs_are_dealt_by_rows(spark, tmp_path, monkeypatch):  # noqa: ANN001
+    from loomgraph.functions import storage
+    from loomgraph.plans import derived
+
+    items = [(o, (o * 7 + i * i) % 31) for o in range(300) for i in range(4)] + [(None, 1), (5, None)]
+    spark.createDataFrame(items, "l_orderkey long, l_partkey long").write.parquet(str(tmp_path / "lineitem.parquet"))
+    spark.createDataFrame([(p, f"Brand#{p % 3}", p % 50) for p in range(31)], "p_partkey long, p_brand string, p_size int").write.parquet(str(tmp_path / "part.parquet"))
+    monkeypatch.setattr(storage, "TASK_ROWS", 100)
+    assert derived._together(spark, str(tmp_path), 2).rdd.getNumPartitions() == 49  # 4 pairs a row, 1,202 rows
+    of = {}
+    for o, p in items:
+        if o is not None and p is not None:
+            of.setdefault(o, set()).add(p)
+    n = {}
+    for ps in of.values():
+        for a in ps:
+            for b in ps:
+                if a < b:
+                    n[a, b] = n.get((a, b), 0) + 1
+    got = [tuple(r) for r in derived.co_part(spark, str(tmp_path), 9).orderBy("edge_id").collect()]
+    assert got == [(i + 1, *e) for i, e in enumerate(sorted(e for e, k in n.items() if k >= 9))]
+    kin = {(r["src"], r["dst"]) for r in derived.kin_part(spark, str(tmp_path)).collect()}
+    assert kin == {(a, b) for a, b in n if a % 3 == b % 3 and (a > 25) == (b > 25)}
+    assert {(r["src"], r["dst"], r["weight"]) for r in derived.weighted(spark, str(tmp_path), 3).collect()} == {(*e, float(k)) for e, k in n.items() if k >= 3}
