@@ -90,3 +90,12 @@ def test_pairs_are_dealt_by_rows(spark, tmp_path, monkeypatch):  # noqa: ANN001
     kin = {(r["src"], r["dst"]) for r in derived.kin_part(spark, str(tmp_path)).collect()}
     assert kin == {(a, b) for a, b in n if a % 3 == b % 3 and (a > 25) == (b > 25)}
     assert {(r["src"], r["dst"], r["weight"]) for r in derived.weighted(spark, str(tmp_path), 3).collect()} == {(*e, float(k)) for e, k in n.items() if k >= 3}
+
+
+def test_graphs_without_links(spark):  # noqa: ANN001
+    from loomgraph.operators import kernels
+
+    e = graph.with_ids(spark.createDataFrame([], "src long, dst long"))
+    assert kernels.eagle(e.select("src", "dst")).collect() == []
+    run = partition.link_partition(e, 3, "gd", "kmn", 0.3)
+    assert run.cover.collect() == [] and run.clusters.collect() == []
