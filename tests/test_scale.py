@@ -3,9 +3,9 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from loomgraph.functions import linalg
+from loomgraph.functions import linalg, storage
 from loomgraph.operators import graph, linegraph, medoids
-from loomgraph.plans import partition
+from loomgraph.plans import community_queries, derived, partition
 
 
 def rings(spark, *sizes):  # noqa: ANN001, ANN201
@@ -99,3 +99,27 @@ def test_graphs_without_links(spark):  # noqa: ANN001
     assert kernels.eagle(e.select("src", "dst")).collect() == []
     run = partition.link_partition(e, 3, "gd", "kmn", 0.3)
     assert run.cover.collect() == [] and run.clusters.collect() == []
+
+
+def orders_of(spark, folder):  # noqa: ANN001, ANN201
+    rows = [(1, 5), (1, 7), (1, 7), (2, 7), (2, 9), (2, 11), (3, 4), (4, 20), (4, 21), (5, None), (None, 6), (5, 8)]
+    spark.createDataFrame(rows, "l_orderkey long, l_partkey long").write.parquet(f"{folder}/lineitem.parquet")
+    return str(folder)
+
+
+def test_nodes_and_components_without_pairs(spark, tmp_path, monkeypatch):  # noqa: ANN001
+    d = orders_of(spark, tmp_path)
+    e = derived.co_part(spark, d, 1)
+    want = sorted(map(tuple, graph.components(e).collect())), sorted(r[0] for r in graph.nodes(e).collect())
+    monkeypatch.setattr(derived, "_together", None)
+    derived.co_part.cache_clear()
+    assert sorted(map(tuple, community_queries.components_all(spark, d).collect())) == want[0]
+    assert sorted(r[0] for r in derived.co_nodes(spark, d, 1).collect()) == want[1]
+
+
+def test_rounds_move_one_side(spark):  # noqa: ANN001
+    links = spark.range(50).select(F.col("id").alias("src"), (F.col("id") % 7).alias("dst"))
+    kept = storage.laid_out(links, "src")
+    plan = kept.join(spark.range(50).toDF("src").hint("shuffle_hash"), "src")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ENSURE_REQUIREMENTS") == 1 and "ShuffledHashJoin" in plan
+    kept.unpersist()
