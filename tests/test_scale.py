@@ -1,10 +1,12 @@
 """Steps that must not grow with more than their input: dense work stays in a component's task, joins are dealt by rows."""
 
+import itertools
+
 import numpy as np
 from pyspark.sql import functions as F
 
 from loomgraph.functions import linalg, storage
-from loomgraph.operators import graph, linegraph, medoids
+from loomgraph.operators import graph, linegraph, medoids, metrics
 from loomgraph.plans import community_queries, derived, partition
 
 
@@ -120,6 +122,26 @@ def test_nodes_and_components_without_pairs(spark, tmp_path, monkeypatch):  # no
 def test_rounds_move_one_side(spark):  # noqa: ANN001
     links = spark.range(50).select(F.col("id").alias("src"), (F.col("id") % 7).alias("dst"))
     kept = storage.laid_out(links, "src")
-    plan = kept.join(spark.range(50).toDF("src").hint("shuffle_hash"), "src")._jdf.queryExecution().executedPlan().toString()
+    met = kept.join(spark.range(50).toDF("src").hint("shuffle_hash"), "src")
+    assert met.count() == 50
+    plan = met._jdf.queryExecution().executedPlan().toString()
     assert plan.count("ENSURE_REQUIREMENTS") == 1 and "ShuffledHashJoin" in plan
     kept.unpersist()
+
+
+def test_triangles_by_colours(spark, monkeypatch):  # noqa: ANN001
+    r = np.random.default_rng(5)
+    pairs = sorted({(min(a, b), max(a, b)) for a, b in r.integers(100, 160, (500, 2)).tolist() if a != b})
+    e = spark.createDataFrame(pairs, "src long, dst long")
+    a = np.zeros((160, 160), int)
+    for x, y in pairs:
+        a[x, y] = a[y, x] = 1
+    want = {i: t for i, t in enumerate((np.linalg.matrix_power(a, 3).diagonal() // 2).tolist()) if t}
+    assert dict(map(tuple, metrics.triangle_counts(e).collect())) == want
+    monkeypatch.setattr(metrics, "WEDGES", 10)
+    low, high = np.array(pairs).T
+    got = np.zeros(160, int)
+    for cell in itertools.combinations_with_replacement(range(4), 3):
+        for nodes, counts in metrics._closed(cell, low, high, 4):
+            np.add.at(got, nodes, counts)
+    assert {i: t for i, t in enumerate(got.tolist()) if t} == want
