@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from multiprocessing.pool import ThreadPool
+
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+FOLDS_AT_ONCE = 8  #: folds whose models are trained side by side
+FOLD_ROWS = 50_000  #: rows of a task of training
+
 
 def assignment(cover: DataFrame, labels: DataFrame) -> DataFrame:
     """(node, communities, label): sorted communities of each labelled node, empty for none."""
@@ -36,7 +42,12 @@ def folds(rows: DataFrame, n: int = 10, seed: int = 0) -> DataFrame:
 
 
 def accuracy(cover: DataFrame, labels: DataFrame, n_folds: int = 10, use: int = 10, trees: int = 20, rate: float = 0.1, sample: float = 0.4, least_label: int = 10, least_feature: int = 4, seed: int = 0) -> DataFrame:
-    """(fold, n, accuracy) of boosted trees, one against the rest, over the first ``use`` folds."""
+    """(fold, n, accuracy) of boosted trees, one against the rest, over the first ``use`` folds.
+
+    Of two labels one model tells both: that of the other would be its negative. Folds are trained side by side, since a level of a tree is
+    a job of its own and most of its time is its start. Rows lie by node in partitions of a stated size, so that what a tree draws does
+    not depend on the session.
+    """
     from pyspark.ml.classification import GBTClassifier, OneVsRest
     from pyspark.ml.linalg import SparseVector, VectorUDT
 
@@ -45,12 +56,18 @@ def accuracy(cover: DataFrame, labels: DataFrame, n_folds: int = 10, use: int =
     vector = F.udf(lambda ids: SparseVector(width, sorted(set(ids or [])), [1.0] * len(set(ids or []))), VectorUDT())
     x = rows.join(features.groupBy("node").agg(F.collect_set("feature").alias("f")), "node", "left").withColumn("features", vector("f"))
     classes = x.select("label").distinct().withColumn("y", (F.dense_rank().over(Window.orderBy("label")) - 1).cast("double"))  # a row for each label
-    x = folds(x.join(F.broadcast(classes), "label"), n_folds, seed).select("node", "features", F.col("y").alias("label"), "fold").cache()
-    out = []
-    for fold in range(use):
+    x = folds(x.join(F.broadcast(classes), "label"), n_folds, seed).select("node", "features", F.col("y").alias("label"), "fold")
+    x = x.repartition(-(-rows.count() // FOLD_ROWS) or 1, "node").sortWithinPartitions("node").cache()
+    two = x.agg(F.max("label")).first()[0] == 1
+
+    def fold_of(fold: int) -> tuple:
         test = x.filter(F.col("fold") == fold)
-        model = OneVsRest(classifier=GBTClassifier(maxIter=trees, stepSize=rate, subsamplingRate=sample, seed=seed)).fit(x.filter(F.col("fold") != fold))
+        trees_ = GBTClassifier(maxIter=trees, stepSize=rate, subsamplingRate=sample, seed=seed)
+        model = (trees_ if two else OneVsRest(classifier=trees_)).fit(x.filter(F.col("fold") != fold))
         right = model.transform(test).agg(F.count("*").alias("n"), F.avg((F.col("prediction") == F.col("label")).cast("double")).alias("a")).first()
-        out.append((fold, right["n"], right["a"]))
+        return fold, right["n"], right["a"]
+
+    with ThreadPool(min(FOLDS_AT_ONCE, max(use, 1))) as pool:
+        out = pool.map(inheritable_thread_target(rows.sparkSession)(fold_of), range(use), 1)
     x.unpersist()
     return rows.sparkSession.createDataFrame(out, "fold int, n long, accuracy double")

@@ -339,3 +339,23 @@ def test_label_prediction(spark):
     got = predict.accuracy(c, labels, 5, 1, trees=2).first()
     assert got["accuracy"] == 1.0 and got["n"] == 12
     assert rows(predict.by_size(cov(spark, [1], [1, 2, 3], [3, 2, 1])))[0] == (0, 1)
+
+
+def test_two_labels_take_one_model_a_fold(spark, monkeypatch):
+    from pyspark.ml.classification import GBTClassifier, OneVsRest
+    from pyspark.ml.linalg import Vectors
+
+    labels = spark.createDataFrame([(v, 1 + (v * v + v // 7) % 2) for v in range(120)], "node long, label long")
+    c = spark.createDataFrame([(v * v % 7, v) for v in range(120)] + [(10 + v % 5, v) for v in range(120)], "c long, node long")
+    rows_ = [(float((v * v + v // 7) % 2), Vectors.dense([float(v * v % 7 == i) for i in range(7)])) for v in range(120)]
+    x = spark.createDataFrame(rows_, ["label", "features"])
+    trees = GBTClassifier(maxIter=3, seed=0, subsamplingRate=0.4)
+    one, each = trees.fit(x).transform(x), OneVsRest(classifier=trees).fit(x).transform(x)
+    assert [r.prediction for r in one.collect()] == [r.prediction for r in each.collect()]
+    fits, fit = [], GBTClassifier._fit
+    monkeypatch.setattr(GBTClassifier, "_fit", lambda self, data: fits.append(1) or fit(self, data))
+    got = predict.accuracy(c, labels, 5, 2, trees=2)
+    assert len(fits) == 2 and [r["fold"] for r in got.collect()] == [0, 1]
+    three = spark.createDataFrame([(v, 1 + v % 3) for v in range(60)], "node long, label long")
+    assert predict.accuracy(spark.createDataFrame([(v % 3, v) for v in range(60)], "c long, node long"), three, 5, 1, trees=2).first()["accuracy"] == 1.0
+    assert len(fits) == 5
