@@ -145,3 +145,20 @@ def test_triangles_by_colours(spark, monkeypatch):  # noqa: ANN001
         for nodes, counts in metrics._closed(cell, low, high, 4):
             np.add.at(got, nodes, counts)
     assert {i: t for i, t in enumerate(got.tolist()) if t} == want
+
+
+def test_omega_counts_pairs_without_making_them(spark):  # noqa: ANN001
+    r = np.random.default_rng(5)
+    for most in (1, 3):  # partitions, and covers that overlap; some nodes are in one cover only
+        a = {(int(c), v) for v in range(40) if v % 7 for c in r.integers(0, 4, most)}
+        b = {(int(c), v) for v in range(45) if v % 5 for c in r.integers(0, 3, most)}
+        want = {}
+        for u, v in itertools.combinations(range(45), 2):
+            x, y = (sum((c, u) in s and (c, v) in s for c in range(4)) for s in (a, b))
+            if x + y:
+                want[x, y] = want.get((x, y), 0) + 1
+        frames = [spark.createDataFrame(sorted(s), "c long, node long") for s in (a, b)]
+        assert {(q["x"], q["y"]): q["k"] for q in metrics.shared_pairs(*frames).collect()} == want
+    nodes = spark.range(400_000).toDF("node")
+    one, two = nodes.select(F.lit(0).cast("long").alias("c"), "node"), nodes.select((F.col("node") % 2).alias("c"), "node")
+    assert abs(metrics.omega(one, two).first()[0]) < 1e-9 and metrics.omega(two, two).first()[0] == 1.0  # 80 billion pairs
