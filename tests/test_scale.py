@@ -162,3 +162,18 @@ def test_omega_counts_pairs_without_making_them(spark):  # noqa: ANN001
     nodes = spark.range(400_000).toDF("node")
     one, two = nodes.select(F.lit(0).cast("long").alias("c"), "node"), nodes.select((F.col("node") % 2).alias("c"), "node")
     assert abs(metrics.omega(one, two).first()[0]) < 1e-9 and metrics.omega(two, two).first()[0] == 1.0  # 80 billion pairs
+
+
+def test_cliques_only_around_triangles(spark):  # noqa: ANN001
+    from loomgraph.operators import kernels
+
+    tree = graph.with_ids(spark.createDataFrame([(i, i // 2) for i in range(1, 40)], "src long, dst long"))
+    assert kernels.neighborhoods(tree).count() == 0 and kernels.cliques(tree).count() == 0 and kernels.cliques(tree, 2).count() == 39
+    r = np.random.default_rng(2)
+    links = {(a, b) for a, b in itertools.combinations(range(14), 2) if r.random() < 0.45}
+    near = lambda s: all(p in links for p in itertools.combinations(s, 2))
+    every = [s for k in range(1, 15) for s in itertools.combinations(range(14), k) if near(s)]
+    maximal = [list(s) for s in every if not any(set(s) < set(t) for t in every)]
+    e = graph.with_ids(spark.createDataFrame(sorted(links), "src long, dst long"))
+    for least in (2, 3, 4):
+        assert sorted(list(x["members"]) for x in kernels.cliques(e, least).collect()) == sorted(m for m in maximal if len(m) >= least)
