@@ -90,3 +90,16 @@ def test_refused_only_where_no_rows_are_known(spark):  # noqa: ANN001
     with pytest.raises(ValueError, match="more than 10"):
         medoids.cluster_blocks(e, lines, linegraph.block_measure(linegraph.commute, lines), 2, most=10)
     assert partition.component_partition(e, 2, "acm", most=10).clusters.agg(F.max("gap")).first()[0] == 0.0
+
+
+def test_a_loop_of_sketches_keeps_no_round(spark, monkeypatch):  # noqa: ANN001
+    from loomgraph.functions import storage
+    from loomgraph.operators import paths
+
+    monkeypatch.setattr(paths, "EXACT", 1)
+    e = spark.createDataFrame([(i, (i + 1) % 60) for i in range(60)], "src long, dst long")
+    before = len(storage._written)
+    got = {r["d"]: r["within"] for r in paths.neighborhood_function(e, rounds=4, registers=14, exact=200).collect()}
+    kept = [x[1] for x in storage._written[before:]]
+    assert all(abs(got[d] - 60 * (2 * d + 1)) < 0.02 * got[d] for d in range(5))
+    assert kept and not [x for x in kept if any(name in x for name in ("sketches", "listeners", "balls", "ball-sizes"))]
