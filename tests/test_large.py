@@ -103,3 +103,25 @@ def test_a_loop_of_sketches_keeps_no_round(spark, monkeypatch):  # noqa: ANN001
     kept = [x[1] for x in storage._written[before:]]
     assert all(abs(got[d] - 60 * (2 * d + 1)) < 0.02 * got[d] for d in range(5))
     assert kept and not [x for x in kept if any(name in x for name in ("sketches", "listeners", "balls", "ball-sizes"))]
+
+
+def test_demon_takes_the_whole_graph(spark, monkeypatch):  # noqa: ANN001
+    from loomgraph.operators import egos
+    from loomgraph.plans import community_queries, derived, queries  # noqa: F401 - the former registers demon
+
+    asked = []
+    monkeypatch.setattr(egos, "demon", lambda edges: asked.append(edges.count()))
+    queries.QUERIES["demon"](spark, "/root/testdata/sf0.001")
+    assert asked == [derived.co_part(spark, "/root/testdata/sf0.001", 1).count()]
+
+
+def test_containment_of_pairs_that_share_little(spark):  # noqa: ANN001
+    from loomgraph.operators import egos
+
+    r = np.random.default_rng(2)
+    sets = [set(r.choice(80, n, replace=False).tolist()) for n in r.integers(10, 60, 40)]
+    sets += [set(list(s)[: -(-3 * len(s) // 4)]) | {100 + i} for i, s in enumerate(sets[:10])]
+    t = spark.createDataFrame([(i, int(v)) for i, m in enumerate(sets) for v in m], "c long, node long")
+    for share in (0.2, 0.7):
+        want = {(i, j, len(a & b)) for i, a in enumerate(sets) for j, b in enumerate(sets) if i != j and (len(a), -i) < (len(b), -j) and len(a & b) >= share * len(a) - 1e-9}
+        assert {tuple(x)[:3] for x in egos.contained(t, share).collect()} == want and want
