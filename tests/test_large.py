@@ -125,3 +125,41 @@ def test_containment_of_pairs_that_share_little(spark):  # noqa: ANN001
     for share in (0.2, 0.7):
         want = {(i, j, len(a & b)) for i, a in enumerate(sets) for j, b in enumerate(sets) if i != j and (len(a), -i) < (len(b), -j) and len(a & b) >= share * len(a) - 1e-9}
         assert {tuple(x)[:3] for x in egos.contained(t, share).collect()} == want and want
+
+
+def test_eagle_takes_the_whole_graph(spark, monkeypatch):  # noqa: ANN001
+    from loomgraph.operators import kernels
+    from loomgraph.plans import derived, queries
+
+    asked = []
+    monkeypatch.setattr(kernels, "eagle", lambda edges, k: asked.append((edges.count(), k)))
+    queries.QUERIES["eagle"](spark, "/root/testdata/sf0.001")
+    assert asked == [(derived.co_part(spark, "/root/testdata/sf0.001", 1).count(), 3)]
+
+
+def test_agglomeration_as_over_a_table_of_pairs():
+    from loomgraph.operators import kernels
+
+    for seed in range(6):
+        pairs = tangle(24, 40, seed)
+        n, m = 24, len(pairs)
+        a = np.zeros((n, n))
+        a[pairs[:, 0], pairs[:, 1]] = a[pairs[:, 1], pairs[:, 0]] = 1
+        near = {i: set(np.flatnonzero(a[i]).tolist()) for i in range(n)}
+        groups = sorted({tuple(sorted(c)) for x in range(n) for c in kernels.maximal_cliques(near, x, 3)})
+        covered = {x for g in groups for x in g}
+        groups = [np.array(g) for g in groups] + [np.array([x]) for x in range(n) if x not in covered]
+        k = a.sum(1)
+        b = 2 * m * a - np.outer(k, k)
+        np.fill_diagonal(b, 0)
+        s = np.array([np.isin(np.arange(n), g) for g in groups], float)
+        eq = lambda s: sum(r @ a @ r - (r @ k) ** 2 / (2 * m) for r in s / s.sum(0)) / (2 * m)  # noqa: B023, E731
+        best, want = eq(s), s
+        while len(s) > 1:
+            sim = s @ b @ s.T
+            np.fill_diagonal(sim, -np.inf)
+            i, j = sorted(divmod(int(sim.argmax()), len(s)))
+            s = np.vstack([np.delete(s, (i, j), 0), np.maximum(s[i], s[j])])
+            if eq(s) > best + 1e-12:
+                best, want = eq(s), s
+        assert [np.flatnonzero(r).tolist() for r in want] == [g.tolist() for g in kernels.agglomerated(pairs[:, 0], pairs[:, 1], groups)]
